@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cleaning import letters_key, plain_id
 from ..session import settle, table
-from . import mixing, quota_sample, stable_sample, tokens
+from . import encoding_repair, mixing, quota_sample, stable_sample, tokens
 
 SALT = "squallframe-1"
 MIX_LOOSE_USES = 0.0  # documents without a source count for none
@@ -108,6 +108,21 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("mix_id", "source", "weight", "want", "capacity", "tokens", "share", "documents", "most_uses", "short")
 
 
+def _damage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return encoding_repair.find_damage(documents, encoding_repair.count_pairs(documents))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that were, wholly or partly, decoded with a wrong encoding."""
+    return _damage(spark, sf_dir).select("doc_id")
+
+
+def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """These documents with the likely cause and the restored text."""
+    return _damage(spark, sf_dir).select("doc_id", "kind", "restored")
+
+
 _ID = r"upper(regexp_replace(regexp_replace(id, '\s', '', 'g'), '(_n_sweep|_sweep|_metrics|_result|_out)$', '', 'i'))"
 _KEY = "nullif(lower(regexp_replace({}, '[^A-Za-z0-9]', '', 'g')), '')"
 
@@ -133,7 +148,7 @@ seen as (select category, count(*) as available from latest group by category),
 asked as (select t.*, {_KEY.format("t.lifecycle_class")} as category,
   greatest(cast(floor(sample_size * target_share + 0.5) as bigint), min_rows, 0) as quota from class_targets t)"""
 
-QUERIES = {"p4_sample": p4_sample, "p5_found": p5_found, "p5_report": p5_report, "p5_sample": p5_sample, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_found": p7_found, "p7_mix": p7_mix, "p7_shares": p7_shares}
+QUERIES = {"p4_sample": p4_sample, "p5_found": p5_found, "p5_report": p5_report, "p5_sample": p5_sample, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_found": p7_found, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_restored": p8_restored}
 
 SQL = {
     "p4_sample": _p4_sql(),
