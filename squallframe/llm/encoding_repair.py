@@ -20,7 +20,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -110,16 +110,19 @@ class PairModel:
 
 
 def count_pairs(documents: DataFrame, text: str = "text") -> PairModel:
-    """The model of all texts. Each task counts into tables of fixed size and sends the slots that it met."""
+    """The model of all texts. Each task counts into tables of fixed size and sends the slots that it met. Of exact copies a task
+    counts one, so that a damaged text that fills a third of the corpus does not become its norm."""
     arrow = pa.schema([("kind", pa.int32()), ("slot", pa.int32()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, chars = np.zeros(PAIRS, np.int64), np.zeros(CHARS, np.int64)
+        met: set[int] = set()  # hashes of the texts of one partition
         for whole in batches:
             for batch in _slices(whole.select([0, 0])):
-                texts = [t for t in batch.column(0).to_pylist() if t]
+                texts = list(dict.fromkeys(t for t in batch.column(0).to_pylist() if t and hash(t) not in met))
                 if not texts:
                     continue
+                met.update(map(hash, texts))
                 cps = code_points("\n".join(["", *texts, ""]))
                 pairs += np.bincount(pair_slots(cps[:-1], cps[1:]), minlength=PAIRS)
                 chars += np.bincount(np.minimum(cps, np.uint64(CHARS - 1)).astype(np.int64), minlength=CHARS)
@@ -165,9 +168,11 @@ def segments(scores: np.ndarray) -> list[tuple[int, int]]:
 
 
 class _Utf8Page:
-    """UTF-8 sequences as a code page shows them, found by one pattern; ``folded`` also takes lower-case forms."""
+    """UTF-8 sequences as a code page shows them, found by one pattern; ``folded`` also takes lower-case forms. A sequence is
+    left alone if it stands for a character that the corpus never has."""
 
-    def __init__(self, name: str, folded: bool):
+    def __init__(self, name: str, folded: bool, seen: Callable[[str], bool]):
+        self.seen = seen
         chars = page_chars(name)
         self.byte: dict[str, list[int]] = {}
         for b in range(0x80, 0x100):
@@ -190,6 +195,8 @@ class _Utf8Page:
             out = raw.decode("utf-8")
         except UnicodeDecodeError:
             return s
+        if not self.seen(out):
+            return s
         return out.lower() if self.folded else out
 
     def __call__(self, s: str) -> str:
@@ -263,8 +270,10 @@ class Repairer:
 
     def __init__(self, model: PairModel):
         self.model = model
-        self.exact = {n: _Utf8Page(n, False) for n in PAGES}
-        self.folded = {n: _Utf8Page(n, True) for n in PAGES}
+        never = float(model.single.min()) + 0.5
+        seen = lambda c: model.char_bits(c) > never
+        self.exact = {n: _Utf8Page(n, False, seen) for n in PAGES}
+        self.folded = {n: _Utf8Page(n, True, seen) for n in PAGES}
         self.pages = _Pages()
 
     def runs(self, text: str, cps: np.ndarray) -> list[tuple[int, int]]:
