@@ -22,6 +22,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +55,7 @@ DOUBLE = ("cp932", "euc_jp")
 OPENING, CLOSING = "\"'“”„«‘’‹»`", "\"'“”»’‘›«`"
 
 
+@lru_cache
 def page_chars(name: str) -> list[str]:
     """The 256 characters of a code page; bytes that it leaves undefined stand for themselves, as web decoders do."""
     out = []
@@ -65,6 +67,11 @@ def page_chars(name: str) -> list[str]:
     return out
 
 
+@lru_cache
+def page_bytes(name: str) -> dict[str, int]:
+    return {c: b for b, c in enumerate(page_chars(name))}
+
+
 def code_points(text: str) -> np.ndarray:
     """The text's code points with every ASCII digit as 0."""
     a = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
@@ -275,6 +282,8 @@ class Repairer:
         self.exact = {n: _Utf8Page(n, False, seen) for n in PAGES}
         self.folded = {n: _Utf8Page(n, True, seen) for n in PAGES}
         self.pages = _Pages()
+        self.common = np.array([ord(c) for c in model.frequent], np.uint64)
+        self.between = model.bits[pair_slots(self.common[:, None], self.common[None, :])]
 
     def runs(self, text: str, cps: np.ndarray) -> list[tuple[int, int]]:
         """[i, j) character ranges of the improbable runs."""
@@ -323,8 +332,8 @@ class Repairer:
         best = (0.0, s, "")
         tries = []
         for page in ("cp1252", "latin-1", "mac-roman", "cp437", "cp1251"):
-            table = {c: b for b, c in enumerate(page_chars(page))}
-            if all(c in table for c in s):
+            table = page_bytes(page)
+            if all(c in table for c in set(s)):
                 raw = bytes(table[c] for c in s)
                 tries += [(raw, meant, page) for meant in DOUBLE]
         for shown in DOUBLE:
@@ -461,22 +470,25 @@ class Repairer:
         return self.pages.names[k], {parts[g][:2]: float(by_run[k, g]) for g in np.flatnonzero(by_run[k] > 2.0)}, self.pages.table(k)
 
     def _question_marks(self, text: str, edits: list[tuple[int, int, str]]) -> float:
-        """Bits gained by filling in question marks that stand where the corpus has other signs."""
+        """Bits gained by filling in question marks that stand where the corpus has other signs: for up to three marks in a row,
+        the best sequence of frequent characters between their neighbours."""
         total = 0.0
+        if not len(self.common):
+            return total
         for m in _LOST.finditer(text):
             i, j = m.span()
             if j - i > 3 or any(a < j and i < b for a, b, _ in edits):
                 continue
-            left, right, options = text[i - 1 : i], text[j : j + 1], [""]
-            for _ in range(j - i):
-                options = sorted((o + c for o in options for c in self.model.frequent), key=lambda o: -self.model.text_score(left + o))[:8]
-            gain = max((self._gain(left, m[0], o, right) for o in options), default=0.0)
+            around = code_points(text[i - 1 : j + 1])
+            best = self.model.bits[pair_slots(around[:1], self.common)]
+            for _ in range(j - i - 1):
+                best = (best[:, None] + self.between).max(axis=0)
+            gain = float((best + self.model.bits[pair_slots(self.common, around[-1:])]).max()) - self.model.score(around)
             if gain >= GAIN_MARK:
                 total += gain
         return total
 
 
-
 def find_damage(documents: DataFrame, model: PairModel, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, kind, gain, restored) of the damaged texts; what cannot be restored stays as it is. Texts are examined whole. Null,
     empty and blank texts are sound; repeated rows are reported as often as they come."""
