@@ -42,8 +42,12 @@ def run_tag(n: Column) -> Column:
 
 
 def extent_key(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
-    """Name of an extent's cache entry: four decimals each, m for minus."""
-    part = lambda c: F.regexp_replace(F.format_string("%.4f", c), "-", "m")
+    """Name of an extent's cache entry: four decimals each, rounded half up, m for minus."""
+
+    def part(c: Column) -> Column:
+        k = F.floor(c * 10000 + 0.5)
+        return F.concat(F.when(k < 0, F.lit("m")).otherwise(F.lit("")), F.floor(F.abs(k) / 10000).cast("string"), F.lit("."), F.lpad((F.abs(k) % 10000).cast("string"), 4, "0"))
+
     return F.concat_ws("_", *[part(c) for c in (lon1, lat1, lon2, lat2)])
 
 
