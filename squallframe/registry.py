@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import catalog_queries, data_queries, raster_queries, sweep_queries
+from .plans import catalog_queries, data_queries, imagery_queries, raster_queries, sweep_queries
 
 FLAGSHIP = "d05_recommend"
-_MODULES = (data_queries, sweep_queries, raster_queries, catalog_queries)
+_MODULES = (data_queries, sweep_queries, raster_queries, catalog_queries, imagery_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
