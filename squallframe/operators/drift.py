@@ -81,7 +81,7 @@ def parse(body: str | None) -> tuple[list[str], list[list[str]]]:
         return [], []
     bare = re.sub(r'"[^"]*"', "", lines[0])
     sep = max(",;\t|", key=bare.count)
-    rows = list(csv.reader(lines, delimiter=sep))
+    rows = list(csv.reader((s.lstrip(" ") for s in lines), delimiter=sep, skipinitialspace=True))
     names = [n.strip().strip("﻿").strip() for n in rows[0]]
     wide = len(names)
     return names, [(r + [""] * wide)[:wide] for r in rows[1:]]
