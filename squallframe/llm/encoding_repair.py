@@ -36,11 +36,11 @@ PAIRS = 1 << 20
 #: Code points above this share the last slot of the table of single characters.
 CHARS = 1 << 17
 #: A pair that contributes fewer bits to the corpus' mutual information is improbable.
-WEAK_BITS = 1e-3
+WEAK_BITS = 1e-2
 #: Score of an improbable and of any other pair in the search for runs.
 UP, DOWN = 1.0, -0.2
 #: Bits that a restored text must gain: by UTF-8 or multi-byte mappings, between code pages, by filling in lost signs.
-GAIN_MULTI, GAIN_SINGLE, GAIN_LOST = 5.0, 12.0, 10.0
+GAIN_MULTI, GAIN_SINGLE, GAIN_LOST = 5.0, 10.0, 10.0
 #: Bits that filling in a single question mark must gain to count.
 GAIN_MARK = 9.0
 
@@ -176,7 +176,7 @@ def segments(scores: np.ndarray) -> list[tuple[int, int]]:
 
 class _Utf8Page:
     """UTF-8 sequences as a code page shows them, found by one pattern; ``folded`` also takes lower-case forms. A sequence is
-    left alone if it stands for a character that the corpus never has."""
+    left alone if it stands for a character that the corpus never has and that is no sign of further damage."""
 
     def __init__(self, name: str, folded: bool, seen: Callable[[str], bool]):
         self.seen = seen
@@ -192,7 +192,6 @@ class _Utf8Page:
 
         tail = of(0x80, 0xBF)
         self.pattern = re.compile(f"{of(0xC2, 0xDF)}{tail}|{of(0xE0, 0xEF)}{tail}{{2}}|{of(0xF0, 0xF4)}{tail}{{3}}")
-        self.folded = folded
 
     def _restore(self, m: re.Match) -> str:
         s = m[0]
@@ -204,7 +203,7 @@ class _Utf8Page:
             return s
         if not self.seen(out):
             return s
-        return out.lower() if self.folded else out
+        return out
 
     def __call__(self, s: str) -> str:
         return self.pattern.sub(self._restore, s)
@@ -259,11 +258,18 @@ def _double_bytes(s: str, name: str) -> bytes | None:
 
 
 _UTF7 = re.compile(r"\+[A-Za-z0-9/+]{3,}-?")
-_LOST = re.compile(r"\?+")
+_LOST = re.compile(r"\?+[^\x00-\x7f]?")
 _ENTITY = re.compile(r"&(?:[A-Za-z][A-Za-z0-9]{1,8}|#[0-9]{1,7}|#x[0-9A-Fa-f]{1,6});")
 _ODD = re.compile(r"[^\x20-\x3e\x40-\x7e\t\n\r]|\+[A-Za-z0-9/+]{3,}|&[A-Za-z#]")
 
 
+def _enough(old: str, new: str) -> bool:
+    """Whether a map between code pages brings in no letters of another script, or at least three: a lone one among Latin words is
+    an accident."""
+    other = [b for a, b in zip(old, new) if a != b and b.isalpha() and ord(b) > 0x24F]
+    return not other or len(other) >= 3
+
+
 @dataclass
 class Finding:
     kind: str = ""
@@ -277,8 +283,9 @@ class Repairer:
 
     def __init__(self, model: PairModel):
         self.model = model
-        never = float(model.single.min()) + 0.5
-        seen = lambda c: model.char_bits(c) > never
+        self.never = float(model.single.min()) + 0.5
+        shown = frozenset(c for n in PAGES for c in page_chars(n)[128:])  # what a text still damaged once more consists of
+        seen = lambda c: model.char_bits(c) > self.never or c in shown
         self.exact = {n: _Utf8Page(n, False, seen) for n in PAGES}
         self.folded = {n: _Utf8Page(n, True, seen) for n in PAGES}
         self.pages = _Pages()
@@ -301,7 +308,7 @@ class Repairer:
     def _gain(self, left: str, old: str, new: str, right: str) -> float:
         return self.model.text_score(left + new + right) - self.model.text_score(left + old + right)
 
-    def _likelier(self, old: str, new: str) -> bool:
+    def _likelier(self, old: str, new: str, margin: float = 1.0) -> bool:
         """Whether the characters that a mapping brings in are as common in the corpus as those that it takes away, on the
         average. A shorter text has fewer pairs and so gains bits with whatever characters; this does not hold for these."""
         a, b = Counter(old), Counter(new)
@@ -309,7 +316,7 @@ class Repairer:
         if not gone or not come:
             return bool(gone)
         mean = lambda c: sum(self.model.char_bits(x) * n for x, n in c.items()) / c.total()
-        return mean(come) >= mean(gone) - 1.0
+        return mean(come) >= max(mean(gone) - margin, self.never + 2.0)
 
     def _utf8(self, s: str, left: str, right: str, folded: bool) -> tuple[float, str, str]:
         """The best chain of up to three UTF-8 readings: (gain, text, name)."""
@@ -323,7 +330,7 @@ class Repairer:
                         seen.add(u)
                         level_next.append((u, f"utf-8 as {name}" + (f", {how}" if how else "")))
                         gain = self._gain(left, s, u, right)
-                        if gain > best[0] and self._likelier(s, u) and self._likelier(t, u):
+                        if gain > best[0] and self._likelier(s, u, 4.0) and self._likelier(t, u, 4.0):
                             best = (gain, *level_next[-1])
             level = level_next[:24]
         return best
@@ -398,7 +405,13 @@ class Repairer:
             kinds[how] = kinds.get(how, 0.0) + gain
             taken[i:j] = True
 
+        if "\x00" in text:
+            gain, t, how = self._wide(text, "\n", "\n")
+            if gain >= GAIN_MULTI:
+                accept(1, len(padded) - 1, t, how, gain)
+        runs = [r for r in runs if not taken[r[0] : r[1]].any()]
         single = self._single(cps, runs)
+        later = []  # runs in which the map between code pages gains more
         for i, j in runs:
             s, left, right = padded[i:j], padded[max(0, i - 1) : i], padded[j : j + 1]
             if _ENTITY.search(s):
@@ -412,7 +425,7 @@ class Repairer:
             tries = [self._utf8(s, left, right, False)]
             if lower:
                 tries.append(self._utf8(s, left, right, True))
-            if "\x00" in s or any(ord(c) >= 0x3000 and not ord(c) & 0xFF for c in s):
+            if any(ord(c) >= 0x3000 and not ord(c) & 0xFF for c in s):
                 tries.append(self._wide(s, left, right))
             if sum(ord(c) > 0x7F for c in s) >= 4:
                 tries.append(self._double(s, left, right))
@@ -421,14 +434,20 @@ class Repairer:
                 if t != s:
                     tries.append((self._gain(left, s, t, right), t, "utf-7 as ascii"))
             gain, t, how = max(tries, key=lambda x: x[0])
-            if gain >= GAIN_MULTI and gain > single[1].get((i, j), 0.0) and not self._quoted(padded, i, j, s, t):
-                accept(i, j, t, how, gain)
+            if gain >= GAIN_MULTI and not self._quoted(padded, i, j, s, t):
+                if gain > single[1].get((i, j), 0.0):
+                    accept(i, j, t, how, gain)
+                else:
+                    later.append((i, j, t, how, gain))
         how, by_run, table = single
         changes = [(i, j, padded[i:j].translate(table), g) for (i, j), g in by_run.items() if not taken[i:j].any()]
-        changes = [c for c in changes if not self._quoted(padded, c[0], c[1], padded[c[0] : c[1]], c[2])]
+        changes = [c for c in changes if not self._quoted(padded, c[0], c[1], padded[c[0] : c[1]], c[2]) and _enough(padded[c[0] : c[1]], c[2])]
         if sum(c[3] for c in changes) >= GAIN_SINGLE:
             for c in changes:
                 accept(*c[:3], how, c[3])
+        for i, j, t, name, gain in later:
+            if not taken[i:j].any():
+                accept(i, j, t, name, gain)
         for m in re.finditer("�+", padded):
             if not (padded[m.start() - 1] in OPENING and padded[m.end() : m.end() + 1] in tuple(CLOSING)):
                 kinds["lost"] = kinds.get("lost", 0.0) + GAIN_LOST
@@ -470,8 +489,9 @@ class Repairer:
         return self.pages.names[k], {parts[g][:2]: float(by_run[k, g]) for g in np.flatnonzero(by_run[k] > 2.0)}, self.pages.table(k)
 
     def _question_marks(self, text: str, edits: list[tuple[int, int, str]]) -> float:
-        """Bits gained by filling in question marks that stand where the corpus has other signs: for up to three marks in a row,
-        the best sequence of frequent characters between their neighbours."""
+        """Bits gained by filling in question marks that stand where the corpus has other signs: for up to three marks in a row, of
+        which the last may be a sign that was misread beside them, the best sequence of frequent characters between their
+        neighbours."""
         total = 0.0
         if not len(self.common):
             return total

@@ -34,8 +34,11 @@ def quotas(targets: DataFrame, request: str, category: Column, size: str, share:
     """The targets with their category key and quota: the larger of the minimum and the share of the sample size, rounded half
     up. Null sizes, shares and minima count as 0."""
     z = lambda c: F.coalesce(F.col(c), F.lit(0))
-    want = F.floor(z(size) * F.when(~F.isnan(z(share)), z(share)).otherwise(0) + 0.5).cast("bigint")
-    return targets.withColumn("category", category).withColumn("quota", F.greatest(want, z(least).cast("bigint"), F.lit(0).cast("bigint")))
+    asked = z(size) * F.when(~F.isnan(z(share)), z(share)).otherwise(0) + 0.5
+    want = F.floor(F.least(F.greatest(asked, F.lit(0.0)), F.lit(9e18))).cast("bigint")
+    made = {"category", "quota", "available", "sampled", "deficit"} - {request, size, share, least}
+    kept = targets.withColumn("_category", category).drop(*made)
+    return kept.withColumnRenamed("_category", "category").withColumn("quota", F.greatest(want, z(least).cast("bigint"), F.lit(0).cast("bigint")))
 
 
 def availability(latest: DataFrame, asked: DataFrame) -> DataFrame:
