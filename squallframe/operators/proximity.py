@@ -87,7 +87,8 @@ def points_in_regions(points: DataFrame, edges: DataFrame, height: float, width:
     x = F.col("lon") + 360.0 * F.round((F.col("x0") - F.col("lon")) / 360.0)
     y = F.col("lat")
     apart = (F.col("y1") > y) != (F.col("y2") > y)
-    crosses = apart & (x < F.col("x1") + (y - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1")))
+    at = F.col("x1") + F.try_divide((y - F.col("y1")) * (F.col("x2") - F.col("x1")), F.col("y2") - F.col("y1"))
+    crosses = apart & (x < at)
     # A point at half a turn from x0 may stand at either end of a region that goes all round.
     along = lambda v: ((v - F.col("x1")) * (F.col("y2") - F.col("y1")) == (y - F.col("y1")) * (F.col("x2") - F.col("x1"))) & v.between(F.least("x1", "x2"), F.greatest("x1", "x2"))
     touches = y.between(lo, hi) & (along(x) | along(x + 360.0) | along(x - 360.0))
