@@ -121,18 +121,28 @@ def uniform_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     return df.orderBy(hash_order(F.col(key), seed), key).limit(n)
 
 
+def running_before(df: DataFrame, order: list[str], weight: str, alias: str) -> DataFrame:
+    """df with the sum of weight over all rows that come strictly before in the total order given; rows must differ in it.
+
+    A window without a partition would bring all rows into one task. Here rows are range-partitioned, each partition is summed
+    on its own, and the totals of the partitions before it (a row for each partition) are added."""
+    ranged = settle(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranged")
+    totals = ranged.groupBy("_part").agg(F.sum(weight).alias("_t"))
+    before = F.coalesce(F.sum("_t").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inside = F.coalesce(F.sum(weight).over(W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = ranged.withColumn("_in", inside).join(F.broadcast(totals.select("_part", before.alias("_b"))), "_part")
+    return placed.withColumn(alias, F.col("_in") + F.col("_b")).drop("_in", "_b", "_part")
+
+
 def round_robin(df: DataFrame, order: list[str], chunks: int) -> DataFrame:
-    """df with ``chunk``: rows dealt out in sorted order, (position - 1) modulo chunks.
-
-    Rows are range-partitioned and sorted there; a position is the place in the partition plus the rows of the partitions before
-    it, which are counted first. No task sorts everything."""
-    ranged = settle(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()), "round-robin")
-    part = F.shiftright("_id", 33)
-    counts = ranged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))  # a row for each partition
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    placed = ranged.withColumn("_part", part).join(F.broadcast(before), "_part")
-    at = F.col("_id") - F.shiftleft("_part", 33) + F.col("_before")
-    return placed.withColumn("chunk", F.pmod(at, F.lit(chunks)).cast("int")).drop("_id", "_part", "_before")
+    """df with ``chunk``: rows dealt out in sorted order, (position - 1) modulo chunks. Rows that are equal in the order take
+    neighbouring positions, whichever way."""
+    one = df.groupBy(*order).agg(F.count(F.lit(1)).alias("_n"))
+    at = running_before(one, order, "_n", "_at").drop("_n")
+    copy = F.row_number().over(W.partitionBy(*order).orderBy(F.lit(1))) - 1
+    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"a.{c}")) for c in order]
+    j = df.withColumn("_copy", copy).alias("d").join(at.alias("a"), same)
+    return j.select("d.*", F.pmod(F.col("a._at") + F.col("d._copy"), F.lit(chunks)).cast("int").alias("chunk")).drop("_copy")
 
 
 def top_per_group(df: DataFrame, group: str, by: list[Column], k: int) -> DataFrame:

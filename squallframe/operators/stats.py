@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.distributions import normal_upper, t_critical, t_table, t_two_sided
+from .relational import running_before
 
 WHOLE = (W.unboundedPreceding, W.unboundedFollowing)
 
@@ -66,11 +67,10 @@ def average_rank(value: Column, by: list[Column] | None = None) -> Column:
 
 
 def share_below(df: DataFrame, value: str, alias: str) -> DataFrame:
-    """Percent of strictly smaller values. Values are counted first, so that equal ones are one row in the ordered window."""
-    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    run = F.coalesce(F.sum("_n").over(W.orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranked = counts.select(value, (run / F.sum("_n").over(W.partitionBy()) * 100).alias(alias))
-    return df.join(ranked, value)
+    """Percent of strictly smaller values; values must not be null. Equal values are counted first and ranked as one row."""
+    ranked = running_before(df.groupBy(value).agg(F.count(F.lit(1)).alias("_n")), [value], "_n", "_before")
+    total = df.agg(F.count(F.lit(1)).alias("_total"))
+    return df.join(ranked.drop("_n"), value).crossJoin(F.broadcast(total)).withColumn(alias, F.col("_before") / F.col("_total") * 100).drop("_before", "_total")  # total is one row
 
 
 def correlations(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -78,9 +78,8 @@ def correlations(df: DataFrame, x: str, y: str) -> DataFrame:
     good = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null and not isnan(x) and not isnan(y)")
 
     def ranks(c: str) -> DataFrame:
-        n = good.groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
-        before = F.coalesce(F.sum("_n").over(W.orderBy(c).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        return n.select(c, (before + (F.col("_n") + 1) / 2.0).alias(f"r{c}"))
+        n = running_before(good.groupBy(c).agg(F.count(F.lit(1)).alias("_n")), [c], "_n", "_before")
+        return n.select(c, (F.col("_before") + (F.col("_n") + 1) / 2.0).alias(f"r{c}"))
 
     both = good.join(ranks("x"), "x").join(ranks("y"), "y")
     r = both.agg(F.corr("x", "y").alias("pearson"), F.corr("rx", "ry").alias("spearman"), F.count(F.lit(1)).alias("n")).first()
@@ -93,8 +92,8 @@ def mann_whitney_less(df: DataFrame, group: str, value: str, a, b) -> DataFrame:
     continuity correction)."""
     good = df.where(F.col(group).isin([a, b]) & F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).alias("v"))
     counts = good.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("g") == a, 1).otherwise(0)).alias("na"))
-    before = F.coalesce(F.sum("n").over(W.orderBy("v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    r = counts.withColumn("rank", before + (F.col("n") + 1) / 2.0).agg(F.sum(F.col("rank") * F.col("na")).alias("rank_sum"), F.sum("na").alias("na"), F.sum("n").alias("n"), F.sum(F.pow("n", F.lit(3)) - F.col("n")).alias("ties")).first()
+    ranked = running_before(counts, ["v"], "n", "before")
+    r = ranked.withColumn("rank", F.col("before") + (F.col("n") + 1) / 2.0).agg(F.sum(F.col("rank") * F.col("na")).alias("rank_sum"), F.sum("na").alias("na"), F.sum("n").alias("n"), F.sum(F.pow("n", F.lit(3)) - F.col("n")).alias("ties")).first()
     n1, n2 = int(r.na or 0), int((r.n or 0) - (r.na or 0))
     u = (r.rank_sum or 0.0) - n1 * (n1 + 1) / 2
     n = n1 + n2
