@@ -114,6 +114,25 @@ def flow_error(a: DataFrame, b: DataFrame, flow: DataFrame, by: list[str]) -> Da
     return j.groupBy(*by).agg(F.avg(F.hypot(F.col("cy1") - F.col("cy") - F.col("fy"), F.col("cx1") - F.col("cx") - F.col("fx"))).alias("fae"))
 
 
+def label_flow(px: DataFrame, flow: DataFrame, by: list[str]) -> DataFrame:
+    """(by, label, fy, fx, n_px): mean flow of each label's pixels."""
+    j = px.where("label > 0").select(*by, "y", "x", "label").join(flow.select(*by, "y", "x", "fy", "fx"), [*by, "y", "x"])
+    return j.groupBy(*by, "label").agg(F.avg("fy").alias("fy"), F.avg("fx").alias("fx"), F.count(F.lit(1)).alias("n_px"))
+
+
+def at_nodes(nodes: DataFrame, px: DataFrame, by: list[str], values: list[str], h: int, w: int) -> DataFrame:
+    """nodes (by, cy, cx, ...) with the values of the pixel that each centre lies in, clipped to the raster."""
+    n = nodes.withColumn("y", F.least(F.greatest(F.floor("cy"), F.lit(0)), F.lit(h - 1)).cast("int")).withColumn("x", F.least(F.greatest(F.floor("cx"), F.lit(0)), F.lit(w - 1)).cast("int"))
+    return n.join(px.select(*by, "y", "x", *values), [*by, "y", "x"], "left").drop("y", "x")
+
+
+def advect(nodes: DataFrame, flow: DataFrame, by: list[str], h: int, w: int) -> DataFrame:
+    """nodes (by, label, cy, cx) moved by the mean flow (by, label, fy, fx) of their label, clipped to the raster; without flow they stay."""
+    m = nodes.join(flow.select(*by, "label", "fy", "fx"), [*by, "label"], "left")
+    to = lambda c, d, n: F.least(F.greatest(F.col(c) + F.coalesce(F.col(d), F.lit(0.0)), F.lit(0.0)), F.lit(float(n - 1)))
+    return m.withColumn("cy", to("cy", "fy", h)).withColumn("cx", to("cx", "fx", w)).drop("fy", "fx")
+
+
 def boundary_jaccard(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
     """(by, bji): common share of two boundaries, 1 if both are empty."""
     ea, eb = boundary(a, by).select(*by, "y", "x", F.col("edge").alias("ea")), boundary(b, by).select(*by, "y", "x", F.col("edge").alias("eb"))

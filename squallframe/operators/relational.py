@@ -164,3 +164,20 @@ def bbox_overlap(extents: DataFrame, tiles: DataFrame, cell: float = 5.0) -> Dat
 def nearest_value(df: DataFrame, key: list[str], target: str, value: str) -> DataFrame:
     """The value nearest to the target in each group; the smaller one on a tie."""
     return df.groupBy(*key).agg(F.min(F.struct(F.abs(F.col(value) - F.col(target)), F.col(value))).alias("_m")).select(*key, F.col(f"_m.{value}").alias(value))
+
+
+def with_parents(children: DataFrame, parents: DataFrame, by: list[str], values: list[str]) -> DataFrame:
+    """children (by, parent_id, ...) with the parent's values as parent_{value}; children without a parent keep nulls."""
+    p = parents.select(*by, F.col("id").alias("parent_id"), *[F.col(v).alias(f"parent_{v}") for v in values])
+    return children.join(p, [*by, "parent_id"], "left")
+
+
+def parse_overrides(pairs: list[str] | None) -> dict[str, str]:
+    """{class: event} of texts "class=event"; others are errors."""
+    out = {}
+    for pair in pairs or []:
+        name, sep, event = pair.partition("=")
+        if not sep or not name.strip() or not event.strip():
+            raise ValueError(f"not class=event: {pair!r}")
+        out[name.strip()] = event.strip()
+    return out

@@ -158,3 +158,12 @@ def window_mean_2d(cells: DataFrame, y: str, x: str, v: str, size: int) -> DataF
     down = W.partitionBy(x).orderBy(y).rangeBetween(-half, half)
     a = cells.withColumn("_s", F.sum(v).over(across)).withColumn("_n", F.count(v).over(across))
     return a.select(y, x, (F.sum("_s").over(down) / F.sum("_n").over(down)).alias("mean"))
+
+
+def head_tail_ratio(series: Column, share: float = 0.1) -> Column:
+    """Mean of an ordered array's last entries over the mean of its first ones; a tenth of it each, one entry at least. Null for an empty
+    array."""
+    n = F.size(series)
+    k = F.greatest(F.lit(1), F.floor(n * share).cast("int"))
+    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v) / k
+    return F.when(n > 0, mean(F.slice(series, n - k + 1, k)) / (mean(F.slice(series, F.lit(1), k)) + 1e-12))

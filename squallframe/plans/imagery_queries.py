@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import clean_doubles, plain_id
+from ..operators import environment as E
 from ..operators import imagery as I
 from ..session import settle, table, work_dir
 from ..streaming import flashes, segmenter
-from .catalog_queries import _EXT, _PID, _extents
+from .catalog_queries import _EXT, _PID, _extents, catalog
 from .sweep_queries import _r, _rounded, latest_events
 
 SIDE, FRAMES = 16, 4
@@ -79,9 +80,32 @@ def t02_segment_stream(spark, sf_dir):
     return flashes.run_to_end(segmenter.segment_stream(stream, 8), "segments", "append")
 
 
-QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and k[:1] in "acelmrtx" and k[1:3].isdigit()}
+def s25_elevation(spark, sf_dir):
+    """Elevation of each event's extent on an 8 x 8 grid, from synthetic five-degree tiles, through the extent cache."""
+    tiles = spark.range(60 * 30).select(
+        F.col("id").alias("tile"), (F.col("id") % 60 * 5 - 180.0).alias("tlon1"), (F.col("id") % 60 * 5 - 175.0).alias("tlon2"), (F.floor(F.col("id") / 60) * 5 - 60.0).alias("tlat1"), (F.floor(F.col("id") / 60) * 5 - 55.0).alias("tlat2"),
+        F.lit(4).alias("th"), F.lit(4).alias("tw"), F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: (F.col("id") * 7 + i * 3).cast("double")).alias("values"),
+    )
+    events = _extents(spark, sf_dir)
+    grids = E.read_through(spark, f"{work_dir(spark, 'dem')}/cache", E.unique_extents(events), lambda e: E.regrid(e, tiles, 8, 8))
+    got = E.for_events(events, grids)
+    return _rounded(got.select("id", "source", F.array_max("data").alias("most"), F.array_min("data").alias("least"), F.size("data").alias("cells")), 6)
+
+
+def s35_cape(spark, sf_dir):
+    """Mean scaled energy over each event's extent, from a one-degree monthly climatology."""
+    grid = spark.range(12 * 180 * 360).select((F.col("id") % 12 + 1).cast("int").alias("month"), (F.floor(F.col("id") / 12) % 180).cast("int").alias("y"), F.floor(F.col("id") / 2160).cast("int").alias("x"), (F.col("id") % 6007).cast("double").alias("value"))
+    times = catalog(spark, sf_dir).groupBy("id").agg(F.min("time_utc").alias("time_utc"))
+    got = E.cape_for_events(_extents(spark, sf_dir).join(times, "id"), grid, -180.0, -90.0, 1.0)
+    return _rounded(got.groupBy("id").agg(F.avg("cape").alias("cape"), F.count(F.lit(1)).alias("cells")))
+
+
+QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and k[:1] in "acelmrstx" and k[1:3].isdigit()}
 
 SQL = {
+    "s35_cape": f"""with {_EXT}, tm as (select id, coalesce(month(min(time_utc)), 7) as m from cat group by id),
+c as (select id, m, y, x from ext join tm using (id), range(180) a(y), range(360) b(x) where y between floor(lat1 + 90) and floor(lat2 + 90) and x between floor(lon1 + 180) and floor(lon2 + 180))
+select id, {_r('avg(least(((x * 2160 + y * 12 + m - 1) % 6007) / 5000.0::double, 1))')} as cape, count(*) as cells from c group by id""",
     "r08_flash_raster": f"""with {_EXT}, f as (select {_PID.format('event_id')} as id, t_off, lat, lon from flashes where t_off >= 0 and not isnan(t_off))
 select id, cast(floor(t_off / 300) as int) as t, 15 - cast(least(floor((lat - lat1) / (lat2 - lat1) * 16), 15) as int) as y, cast(least(floor((lon - lon1) / (lon2 - lon1) * 16), 15) as int) as x, count(*) as n
 from f join ext using (id) where lon between lon1 and lon2 and lat between lat1 and lat2 group by 1, 2, 3, 4""",

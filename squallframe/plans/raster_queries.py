@@ -167,6 +167,24 @@ def w10_nearest(spark, sf_dir):
     return _rounded(G.nearest(_graph(spark, sf_dir)[1], _T, "label", 3))
 
 
+def _flow(spark, sf_dir):
+    return raster(spark, sf_dir).select("t", "y", "x", (F.col("u") * 10).alias("fy"), (F.col("v") / 20).alias("fx"))
+
+
+def a33_label_flow(spark, sf_dir):
+    return _rounded(P.label_flow(raster(spark, sf_dir), _flow(spark, sf_dir), _T))
+
+
+def c18_advected(spark, sf_dir):
+    px = raster(spark, sf_dir)
+    return _rounded(P.advect(P.label_stats(px, _T, []).select("t", "label", "cy", "cx"), P.label_flow(px, _flow(spark, sf_dir), _T), _T, SIDE, SIDE))
+
+
+def j17_values_at_nodes(spark, sf_dir):
+    px = raster(spark, sf_dir)
+    return _rounded(P.at_nodes(P.label_stats(px, _T, []).select("t", "label", "cy", "cx"), px, _T, ["v"], SIDE, SIDE).select("t", "label", "v"))
+
+
 def f22_norms(spark, sf_dir):
     return _rounded(table(spark, sf_dir, "embeddings").select("vec_id", X.l2_norm(F.col("embedding")).alias("norm")), 4)
 
@@ -176,7 +194,7 @@ def f17_minmax(spark, sf_dir):
     return _rounded(table(spark, sf_dir, "embeddings").select("vec_id", F.aggregate(v, F.lit(0.0), lambda s, e: s + e).alias("total"), F.array_max(v).alias("most"), F.array_min(v).alias("least")), 4)
 
 
-QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and k[:1] in "afgjmrsw" and k[1:3].isdigit()}
+QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and k[:1] in "acfgjmrsw" and k[1:3].isdigit()}
 
 _STATS = "st as (select t, label, avg(y) as cy, avg(x) as cx, count(*) as n_px, avg(v) as v_mean, var_pop(v) as v_var, avg(u) as u_mean, var_pop(u) as u_var from px where label > 0 group by t, label)"
 _NB = "nb as (select a.t, a.y, a.x, a.label as a, b.label as b from px a join px b on a.t = b.t and ((b.y = a.y and b.x = a.x + 1) or (b.x = a.x and b.y = a.y + 1)))"
@@ -239,6 +257,9 @@ select t, {_r('k')} as k_max, {_r('3.0 / (0.01 * k)')} as dt_stable, {_r('3.0 /
     "j10_radius_graph": f"{_G}, d as (select a.t, a.label as src, b.label as dst, sqrt(power(a.cy - b.cy, 2) + power(a.cx - b.cx, 2)) as d from st a join st b on a.t = b.t and a.label < b.label) select t, src, dst, {_r('d')} as d from d where d > 0 and d < 12.5",
     "w10_nearest": f"""{_G}, d as (select a.t, a.label as src, b.label as dst, sqrt(power(a.cy - b.cy, 2) + power(a.cx - b.cx, 2)) as d from st a join st b on a.t = b.t and a.label <> b.label),
 r as (select *, cast(row_number() over (partition by t, src order by d, dst) as int) as rank from d) select t, src, dst, {_r('d')} as d, rank from r where rank <= 3""",
+    "a33_label_flow": f"with {RASTER_SQL} select t, label, {_r('avg(u * 10)')} as fy, {_r('avg(v / 20)')} as fx, count(*) as n_px from px where label > 0 group by 1, 2",
+    "c18_advected": f"""with {RASTER_SQL} select t, label, {_r('least(greatest(avg(y) + avg(u * 10), 0), 31)')} as cy, {_r('least(greatest(avg(x) + avg(v / 20), 0), 31)')} as cx from px where label > 0 group by 1, 2""",
+    "j17_values_at_nodes": f"with {RASTER_SQL}, {_STATS} select st.t, st.label, {_r('px.v')} as v from st left join px on px.t = st.t and px.y = floor(cy) and px.x = floor(cx)",
     "f22_norms": f"select vec_id, {_r('sqrt(list_sum(list_transform(embedding, lambda e: e::double * e::double)))', 4)} as norm from embeddings",
     "f17_minmax": f"""with m as (select vec_id, list_transform(embedding, lambda e: e::double) as v, list_min(embedding)::double as lo, list_max(embedding)::double as hi from embeddings)
 select vec_id, {_r('list_sum(list_transform(v, lambda e: (e - lo) / (hi - lo)))', 4)} as total, {_r('1.0::double', 4)} as most, {_r('0.0::double', 4)} as least from m""",

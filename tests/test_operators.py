@@ -153,3 +153,33 @@ def test_hdf5_layouts_without_the_library():
     assert [k for k, _ in H.cubes({"S1": {"vil": cube[0]}}, "vil", "group", None)] == ["S1"]
     assert [k for k, _ in H.cubes({"S9": cube[0]}, "vil", "first", {"S1"})] == []
     assert H.frames_first(cube[0]).shape == (3, 4, 5) and H.frames_first(np.zeros((3, 9, 9))).shape == (3, 9, 9)
+
+
+def test_small_helpers(spark):
+    assert R.parse_overrides(["A=S1", " B = S2 "]) == {"A": "S1", "B": "S2"} and R.parse_overrides(None) == {}
+    with pytest.raises(ValueError):
+        R.parse_overrides(["A"])
+    df = spark.createDataFrame([([1.0, 2.0, 3.0, 4.0],), ([],)], "a array<double>").select(S.head_tail_ratio(F.col("a")))
+    assert [None if r[0] is None else round(r[0], 6) for r in df.collect()] == [4.0, None]
+    c = spark.createDataFrame([("e", 1, 10), ("e", 2, None)], "e string, k int, parent_id int")
+    p = spark.createDataFrame([("e", 10, 0.5)], "e string, id int, v double")
+    assert sorted((r.k, r.parent_v) for r in R.with_parents(c, p, ["e"], ["v"]).collect()) == [(1, 0.5), (2, None)]
+
+
+def test_environment_cache(spark):
+    from squallframe.operators import environment as E
+
+    tiles = spark.createDataFrame([(1, 0.0, 10.0, 0.0, 10.0, 2, 2, [5.0, 5.0, 5.0, 5.0])], "tile int, tlon1 double, tlon2 double, tlat1 double, tlat2 double, th int, tw int, values array<double>")
+    events = spark.createDataFrame([("a", 1.0, 4.0, 1.0, 4.0), ("b", 1.0, 4.0, 1.0, 4.0), ("c", 50.0, 54.0, 1.0, 4.0)], "id string, lon1 double, lon2 double, lat1 double, lat2 double")
+    asked = []
+
+    def fetch(e):
+        asked.append(e.count())
+        return E.regrid(e, tiles, 3, 3)
+
+    ext, cache = E.unique_extents(events), f"{work_dir(spark, 'env')}/cache"
+    first = {r.cache_key: r.source for r in E.read_through(spark, cache, ext, fetch).collect()}
+    again = {r.cache_key: r.source for r in E.read_through(spark, cache, ext, fetch).collect()}
+    assert sorted(first.values()) == ["tiles", "zero"] and again == first and asked[0] == 2 and asked[2] == 1
+    got = {r.id: list(r.data) for r in E.for_events(events, E.regrid(ext, tiles, 3, 3)).collect()}
+    assert set(got) == {"a", "b", "c"} and got["c"] == [0.0] * 9
