@@ -230,6 +230,7 @@ class _Pages:
                     self.names.append(f"{meant} as {shown}")
         self.rows = np.array(rows)
         self.universe = np.array(universe, np.uint64)
+        self.tables: dict[int, dict[int, int]] = {}
 
     def apply(self, cps: np.ndarray) -> np.ndarray:
         """(maps, characters): the code points under every map."""
@@ -237,7 +238,9 @@ class _Pages:
         return np.where(slot >= 0, self.rows[:, np.maximum(slot, 0)], cps)
 
     def table(self, k: int) -> dict[int, int]:
-        return {int(a): int(b) for a, b in zip(self.universe, self.rows[k]) if a != b}
+        if k not in self.tables:
+            self.tables[k] = {int(a): int(b) for a, b in zip(self.universe, self.rows[k]) if a != b}
+        return self.tables[k]
 
 
 def _double_bytes(s: str, name: str) -> bytes | None:
@@ -257,6 +260,7 @@ def _double_bytes(s: str, name: str) -> bytes | None:
     return bytes(out)
 
 
+_TWO = re.compile(r"[^\x00-\x7f]{2}")
 _UTF7 = re.compile(r"\+[A-Za-z0-9/+]{3,}-?")
 _LOST = re.compile(r"\?+[^\x00-\x7f]?")
 _ENTITY = re.compile(r"&(?:[A-Za-z][A-Za-z0-9]{1,8}|#[0-9]{1,7}|#x[0-9A-Fa-f]{1,6});")
@@ -321,6 +325,8 @@ class Repairer:
     def _utf8(self, s: str, left: str, right: str, folded: bool) -> tuple[float, str, str]:
         """The best chain of up to three UTF-8 readings: (gain, text, name)."""
         best, level, seen = (0.0, s, ""), [(s, "")], {s}
+        if not _TWO.search(s):  # every byte of a sequence is a sign beyond ASCII on every page
+            return best
         for _ in range(3):
             level_next = []
             for t, how in level:
