@@ -151,13 +151,13 @@ def plateau(df: DataFrame, by: list[str], n: str, j: str, ratio: float = 0.95) -
 
 
 def window_mean_2d(cells: DataFrame, y: str, x: str, v: str, size: int) -> DataFrame:
-    """Mean of the size x size window around each cell, clipped at the border, from two running sums (a summed-area table by
-    rows and columns of at most one raster)."""
+    """(y, x, mean): mean of the cells present in the size x size window around each cell, clipped at the border. Sums are spread along
+    rows and then along columns, so that a cell is copied 2 x size times, not size x size."""
     half = size // 2
-    across = W.partitionBy(y).orderBy(x).rangeBetween(-half, half)
-    down = W.partitionBy(x).orderBy(y).rangeBetween(-half, half)
-    a = cells.withColumn("_s", F.sum(v).over(across)).withColumn("_n", F.count(v).over(across))
-    return a.select(y, x, (F.sum("_s").over(down) / F.sum("_n").over(down)).alias("mean"))
+    step = lambda c: F.explode(F.sequence(F.col(c) - half, F.col(c) + half))
+    rows = cells.select(F.col(y).alias("_y"), step(x).alias("_x"), F.col(v).alias("_v")).groupBy("_y", "_x").agg(F.sum("_v").alias("_s"), F.count("_v").alias("_n"))
+    both = rows.select(step("_y").alias(y), F.col("_x").alias(x), "_s", "_n").groupBy(y, x).agg((F.sum("_s") / F.sum("_n")).alias("mean"))
+    return cells.select(y, x).join(both, [y, x])
 
 
 def head_tail_ratio(series: Column, share: float = 0.1) -> Column:
