@@ -148,19 +148,19 @@ def s54_months(spark, sf_dir):
     return catalog(spark, sf_dir).groupBy("id").agg(F.coalesce(F.month(F.min("time_utc")), F.lit(7)).alias("month"))
 
 
-def p04_complete_vil(spark, sf_dir):
+def q04_complete_vil(spark, sf_dir):
     return catalog(spark, sf_dir).where((F.col("img_type") == "vil") & (F.col("pct_missing") == 0.0)).select("id", "file_name")
 
 
-def p03_infrared(spark, sf_dir):
+def q03_infrared(spark, sf_dir):
     return catalog(spark, sf_dir).where(F.col("img_type").isin("ir069", "ir107")).groupBy("img_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("n_events"))
 
 
-def p12_dropna(spark, sf_dir):
+def q12_dropna(spark, sf_dir):
     return R.drop_missing(table(spark, sf_dir, "sweep").select("file_id", "line_no", "FAE", "J_imex"), ["FAE", "J_imex"]).select("file_id", "line_no")
 
 
-def p06_flashes_in_box(spark, sf_dir):
+def q06_flashes_in_box(spark, sf_dir):
     """Flashes inside the box of their own event, each distinct one once."""
     f = clean_doubles(table(spark, sf_dir, "flashes")).withColumn("id", plain_id(F.col("event_id"))).select("id", "t_off", "lat", "lon", "energy").distinct()
     j = f.join(_extents(spark, sf_dir), "id")
@@ -273,7 +273,7 @@ def f24_json(spark, sf_dir):
     return k.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and k[:1] in "adfjpsuw" and k[1:3].isdigit()}
+QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and k[:1] in "adfjqsuw" and k[1:3].isdigit()}
 
 _SWAP = "case when len(string_split(file_name, '/')) = 3 then string_split(file_name, '/')[2] || '/' || string_split(file_name, '/')[1] || '/' || string_split(file_name, '/')[3] else file_name end"
 _PART = "case when floor({0} * 10000 + 0.5) < 0 then 'm' else '' end || (abs(floor({0} * 10000 + 0.5))::bigint // 10000) || '.' || lpad((abs(floor({0} * 10000 + 0.5))::bigint % 10000)::varchar, 4, '0')"
@@ -306,10 +306,10 @@ select event_id, N, {_r('v')} as runtime_s from (select *, row_number() over (pa
     "s51_index": f"with {CAT_SQL} select id, img_type, file_name from cat",
     "s53_without_extent": f"with {_EXT} select distinct id from cat where id not in (select id from ext)",
     "s54_months": f"with {CAT_SQL} select id, cast(coalesce(month(min(time_utc)), 7) as int) as month from cat group by id",
-    "p04_complete_vil": f"with {CAT_SQL} select id, file_name from cat where img_type = 'vil' and pct_missing = 0",
-    "p03_infrared": f"with {CAT_SQL} select img_type, count(*) as n, count(distinct id) as n_events from cat where img_type in ('ir069', 'ir107') group by 1",
-    "p12_dropna": "select file_id, line_no from sweep where FAE is not null and not isnan(FAE) and J_imex is not null and not isnan(J_imex)",
-    "p06_flashes_in_box": f"""with {_EXT}, f as (select distinct {_PID.format('event_id')} as id, case when isnan(t_off) then null else t_off end as t_off, case when isnan(lat) then null else lat end as lat,
+    "q04_complete_vil": f"with {CAT_SQL} select id, file_name from cat where img_type = 'vil' and pct_missing = 0",
+    "q03_infrared": f"with {CAT_SQL} select img_type, count(*) as n, count(distinct id) as n_events from cat where img_type in ('ir069', 'ir107') group by 1",
+    "q12_dropna": "select file_id, line_no from sweep where FAE is not null and not isnan(FAE) and J_imex is not null and not isnan(J_imex)",
+    "q06_flashes_in_box": f"""with {_EXT}, f as (select distinct {_PID.format('event_id')} as id, case when isnan(t_off) then null else t_off end as t_off, case when isnan(lat) then null else lat end as lat,
   case when isnan(lon) then null else lon end as lon, case when isnan(energy) then null else energy end as energy from flashes)
 select id, count(*) as n, round(max(energy), 6) as most from f join ext using (id) where lon between lon1 and lon2 and lat between lat1 and lat2 group by id""",
     "f08_flash_frames": f"select {_PID.format('event_id')} as id, cast(floor(t_off / 300) as int) as frame, count(*) as n from flashes where t_off is not null and not isnan(t_off) and event_id is not null group by 1, 2",
