@@ -40,6 +40,8 @@ TARGET_BYTES = 128 << 20
 CHUNK_LINES = 250_000
 #: At most about so many items are scheduled by one task.
 SHARD_ITEMS = 100_000
+#: And at most so many output groups are written by one task.
+SHARD_GROUPS = 4
 #: A file of unknown size counts as so many bytes a line.
 DEFAULT_LINE_BYTES = 160
 
@@ -200,7 +202,7 @@ def compact(
     items = settle(lines.join(whole, "file_id").join(known, "file_id", "left").select("file_id", "_chunk", "_lines", size.alias("_size")), "compact-items")
     total, all_rows, n_items = items.agg(F.coalesce(F.sum("_size"), F.lit(0)), F.coalesce(F.sum("_lines"), F.lit(0)), F.count(F.lit(1))).first()
     groups = max(1, -(-int(total) // target_bytes))
-    shards = max(1, min(groups, -(-n_items // SHARD_ITEMS)))
+    shards = max(1, min(groups, max(-(-n_items // SHARD_ITEMS), -(-groups // SHARD_GROUPS))))
 
     def plan(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["file_id", "_chunk"])

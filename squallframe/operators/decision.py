@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
+from .relational import one_row
 from .stats import WHOLE, first_argmax
 
 ALPHA, LFS_TOL, BATCH, BUDGET_MB = 1.5, 0.10, 32, 4000.0
@@ -17,25 +18,6 @@ def _groups(by: list[str], n: str) -> tuple[W, W]:
     return W.partitionBy(*by), W.partitionBy(*by).orderBy(n).rowsBetween(*WHOLE)
 
 
-def elbow_distance(by: list[str], n: str, score: Column) -> Column:
-    """Distance of each point from the line between the first and last one, after scaling both axes to 0..1."""
-    every, ordered = _groups(by, n)
-    x = F.col(n).cast("double")
-    scale = lambda c: (c - F.min(c).over(every)) / (F.max(c).over(every) - F.min(c).over(every) + 1e-12)
-    px, py = scale(x), scale(score)
-    fx, lx = F.first(x).over(ordered), F.last(x).over(ordered)
-    fy, ly = F.first(score).over(ordered), F.last(score).over(ordered)
-    lo_x, sp_x = F.min(x).over(every), F.max(x).over(every) - F.min(x).over(every) + 1e-12
-    lo_y, sp_y = F.min(score).over(every), F.max(score).over(every) - F.min(score).over(every) + 1e-12
-    ax, ay = (fx - lo_x) / sp_x, (fy - lo_y) / sp_y
-    dx, dy = (lx - lo_x) / sp_x - ax, (ly - lo_y) / sp_y - ay
-    norm = F.sqrt(dx * dx + dy * dy) + 1e-12
-    ux, uy = dx / norm, dy / norm
-    qx, qy = px - ax, py - ay
-    along = qx * ux + qy * uy
-    return F.sqrt((qx - along * ux) * (qx - along * ux) + (qy - along * uy) * (qy - along * uy))
-
-
 def elbows(agg: DataFrame, by: list[str], n: str, scores: dict[str, Column]) -> DataFrame:
     """(by, one column of N for each score): the point farthest from the chord, the first on a tie; the first N of a group with
     fewer than three points. Ranges and ends of all scores come from one aggregate, which is joined back."""
@@ -92,7 +74,7 @@ def recommend(agg: DataFrame, alpha: float = ALPHA, tol: float = LFS_TOL, batch:
     marks = elbows(agg, by, n, {"isv_elbow_N": F.col("ISV_mean"), "fae_elbow_N": F.col("FAE_mean"), "mdv_elbow_N": F.col("MDV_mean"), "tbr_elbow_N": F.col("TBR_mean"), "br_elbow_N": 1 - F.col("BR_mean")})
     best = scored.groupBy(*by).agg(first_argmax(by, F.round("joint", 12), F.col(n)).alias("joint_optimal_N"), F.max("n_events").alias("n_events"))
     memory = agg.select(n).distinct().agg(memory_ceiling(agg, n, batch, budget).alias("vram_ceiling_N"))
-    per = marks.join(best, by).join(lfs_ceiling(agg, by, n, "LFS_mean", tol), by).crossJoin(F.broadcast(memory))  # one row
+    per = marks.join(best, by).join(lfs_ceiling(agg, by, n, "LFS_mean", tol), by).withColumn("vram_ceiling_N", one_row(memory)["vram_ceiling_N"])
     pool = F.array("isv_elbow_N", "fae_elbow_N", "mdv_elbow_N", "joint_optimal_N")
     votes = F.transform(pool, lambda v: F.size(F.filter(pool, lambda w: w == v)))
     voted = F.element_at(pool, F.array_position(votes, F.array_max(votes)).cast("int"))
@@ -112,25 +94,33 @@ def recommend(agg: DataFrame, alpha: float = ALPHA, tol: float = LFS_TOL, batch:
 
 def gated_joint(sweep: DataFrame, by: list[str], class_column: str | None) -> DataFrame:
     """sweep with J_gated: four quality terms, three stiffness terms, a sigmoid penalty by class and an interaction, within each
-    group. Groups with fewer than three N or a missing metric get none of their rows."""
+    group. Groups with fewer than three N or a missing metric get none of their rows. Ranges and ends come from one aggregate, the
+    quality at the elbow of recall from a second; both are joined back, so that no window is sorted."""
     n = "N"
-    need = ["intra_sp_var_mean", "LFS", "FAE", "MDV", "boundary_recall_mean", "temporal_br_std"]
-    every, ordered = _groups(by, n)
-    bad = F.max(sum((F.col(c).isNull().cast("int") for c in need), F.lit(0))).over(every)
-    good = sweep.withColumn("_bad", bad).withColumn("_k", F.count(F.lit(1)).over(every)).where("_bad = 0 and _k >= 3").drop("_bad", "_k")
-    level = lambda c: (c - F.min(c).over(every)) / (F.max(c).over(every) - F.min(c).over(every) + 1e-12)
-    isv, br = F.col("intra_sp_var_mean"), F.col("boundary_recall_mean")
-    isv0, br0 = F.first(isv).over(ordered), F.first(br).over(ordered)
-    g = good.withColumn("_isv", (isv0 - isv) / (isv0 - F.min(isv).over(every) + 1e-12)).withColumn("_br", (br - br0) / (F.max(br).over(every) - br0 + 1e-12))
-    g = g.withColumn("_d", F.round(elbow_distance(by, n, 1 - br), 12))
-    g = g.withColumn("_cap", F.max(F.struct(F.col("_d"), -F.col(n), F.col("_br"))).over(every)["_br"])
-    g = g.withColumn("_q", 0.40 * F.col("_isv") + 0.30 * F.least("_br", "_cap") - 0.15 * level(F.col("FAE")) - 0.15 * level(F.col("MDV")))
-    edges = X.super_edges(F.col(n)).cast("double")
-    g = g.withColumn("_e", edges)
-    g = g.withColumn("_s", 0.10 * level(F.col("LFS")) + 0.60 * level(F.col("_e")) + 0.30 * level(F.col("temporal_br_std")))
+    isv, br = "intra_sp_var_mean", "boundary_recall_mean"
+    need = [isv, "LFS", "FAE", "MDV", br, "temporal_br_std"]
+    base = sweep.withColumn("_e", X.super_edges(F.col(n)).cast("double"))
+    bad = F.max(sum((F.col(c).isNull().cast("int") for c in need), F.lit(0)))
+    spans = [f(c).alias(f"_{f.__name__}_{c}") for c in (*need, "_e", n) for f in (F.min, F.max)]
+    ends = base.groupBy(*by).agg(F.count(F.lit(1)).alias("_k"), bad.alias("_bad"), *spans, F.min_by(isv, n).alias("_isv0"), F.min_by(br, n).alias("_br0"), F.max_by(br, n).alias("_br1"))
+    g = base.join(ends.where("_bad = 0 and _k >= 3"), by)
+    lo, hi = (lambda c: F.col(f"_min_{c}")), (lambda c: F.col(f"_max_{c}"))
+    level = lambda c: (F.col(c) - lo(c)) / (hi(c) - lo(c) + 1e-12)
+    g = g.withColumn("_gain", (F.col(br) - F.col("_br0")) / (hi(br) - F.col("_br0") + 1e-12))
+    # The elbow of 1 - recall: distance from the chord between the first and last N, both axes scaled to 0..1.
+    width, height = hi(n) - lo(n) + 1e-12, hi(br) - lo(br) + 1e-12
+    x, y = (F.col(n) - lo(n)) / width, (F.col("_br0") - F.col(br)) / height
+    dx, dy = (hi(n) - lo(n)) / width, (F.col("_br0") - F.col("_br1")) / height
+    norm = F.sqrt(dx * dx + dy * dy) + 1e-12
+    along = (x * dx + y * dy) / norm
+    away = F.round(F.sqrt(F.pow(x - along * dx / norm, F.lit(2)) + F.pow(y - along * dy / norm, F.lit(2))), 12)
+    cap = g.groupBy(*by).agg(F.max_by("_gain", F.struct(away, -F.col(n))).alias("_cap"))
+    g = g.join(cap, by)
+    q = 0.40 * (F.col("_isv0") - F.col(isv)) / (F.col("_isv0") - lo(isv) + 1e-12) + 0.30 * F.least("_gain", "_cap") - 0.15 * level("FAE") - 0.15 * level("MDV")
+    s = 0.10 * level("LFS") + 0.60 * level("_e") + 0.30 * level("temporal_br_std")
     alpha = X.class_alpha(F.col(class_column)) if class_column else F.lit(X.OTHER_ALPHA)
-    j = F.col("_q") - alpha * X.sigmoid(F.col("_s"), 5.0, 0.60) - 0.10 * F.col("_q") * F.col("_s")
-    return g.withColumn("J_gated", j).drop("_isv", "_br", "_d", "_cap", "_q", "_e", "_s")
+    g = g.withColumn("_q", q).withColumn("_s", s)
+    return g.select(*sweep.columns, (F.col("_q") - alpha * X.sigmoid(F.col("_s"), 5.0, 0.60) - 0.10 * F.col("_q") * F.col("_s")).alias("J_gated"))
 
 
 def thresholds(stats: DataFrame, slope: str = "slope", mass: str = "mean_mass") -> DataFrame:
@@ -170,7 +160,7 @@ def lifecycle(stats: DataFrame, limits: DataFrame) -> DataFrame:
         .when(c("n_phases") >= 2, "EPISODIC")
         .otherwise("STEADY")
     )
-    return stats.crossJoin(F.broadcast(limits)).withColumn("lifecycle_class", rule).drop(*limits.columns)  # limits is one row
+    return stats.withColumn("_limits", one_row(limits)).select("*", *[F.col("_limits")[k].alias(k) for k in limits.columns]).withColumn("lifecycle_class", rule).drop("_limits", *limits.columns)
 
 
 def spatial_type(cells: Column, area: Column, active: Column) -> Column:

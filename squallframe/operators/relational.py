@@ -15,6 +15,11 @@ from ..session import broadcast_if_small, settle
 SMALL = 200_000
 
 
+def one_row(df: DataFrame) -> Column:
+    """The only row of df as a struct: a scalar subquery, computed once and used as a value, in place of a cross join."""
+    return df.select(F.struct(*df.columns)).scalar()
+
+
 def first_column(df: DataFrame, candidates: tuple[str, ...]) -> str | None:
     """The first candidate that the frame has."""
     return next((c for c in candidates if c in df.columns), None)

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.distributions import normal_upper, t_critical, t_table, t_two_sided
-from .relational import running_before
+from .relational import one_row, running_before
 
 WHOLE = (W.unboundedPreceding, W.unboundedFollowing)
 
@@ -17,7 +17,7 @@ WHOLE = (W.unboundedPreceding, W.unboundedFollowing)
 def with_ci(agg: DataFrame, names: list[str], level: float = 0.95) -> DataFrame:
     """agg with {name}_ci, half the width of the mean's t confidence interval, from {name}_std and {name}_n, which is dropped;
     null for fewer than two values."""
-    out = agg.crossJoin(F.broadcast(t_table(agg.sparkSession, level)))  # one row
+    out = agg.withColumn("_t", t_table(agg.sparkSession, level).scalar())
     half = lambda k: F.when(F.col(f"{k}_n") >= 2, t_critical(F.col(f"{k}_n") - 1, level) * F.col(f"{k}_std") / F.sqrt(F.col(f"{k}_n").cast("double")))
     return out.withColumns({f"{k}_ci": half(k) for k in names}).drop("_t", *[f"{k}_n" for k in names])
 
@@ -69,8 +69,8 @@ def average_rank(value: Column, by: list[Column] | None = None) -> Column:
 def share_below(df: DataFrame, value: str, alias: str) -> DataFrame:
     """Percent of strictly smaller values; values must not be null. Equal values are counted first and ranked as one row."""
     ranked = running_before(df.groupBy(value).agg(F.count(F.lit(1)).alias("_n")), [value], "_n", "_before")
-    total = df.agg(F.count(F.lit(1)).alias("_total"))
-    return df.join(ranked.drop("_n"), value).crossJoin(F.broadcast(total)).withColumn(alias, F.col("_before") / F.col("_total") * 100).drop("_before", "_total")  # total is one row
+    total = df.agg(F.count(F.lit(1)).alias("n"))
+    return df.join(ranked.drop("_n"), value).withColumn(alias, F.col("_before") / one_row(total)["n"] * 100).drop("_before")
 
 
 def correlations(df: DataFrame, x: str, y: str) -> DataFrame:

@@ -100,7 +100,7 @@ def d06_metric_vote(spark, sf_dir):
 
 
 def d10_gated_joint(spark, sf_dir):
-    got = D.gated_joint(runs(spark, sf_dir), ["event_id"], "lifecycle_class")
+    got = D.gated_joint(settle(runs(spark, sf_dir), "runs"), ["event_id"], "lifecycle_class")
     # Flat curves give huge values (differences over 1e-12): these to a few digits only.
     j = F.when(F.abs("J_gated") < 1000, F.round(F.col("J_gated") + 3.1e-8, 6)).otherwise(F.round(F.col("J_gated") / F.pow(F.lit(10.0), F.floor(F.log10(F.abs("J_gated")))), 5))
     return got.select("event_id", "N", j.alias("J_gated"))
@@ -226,8 +226,8 @@ def d13_enrich(spark, sf_dir):
     """Percentile and standard score of the slope, and the region hint, of every event."""
     e = latest_events(spark, sf_dir).where("slope is not null and active_fraction_t0 is not null and n_cells_t0 is not null")
     m = e.agg(F.avg("slope").alias("m"), F.stddev_pop("slope").alias("s"))
-    e = S.share_below(e, "slope", "pct").crossJoin(F.broadcast(m))  # one row
-    return e.select("id", F.round("pct", 4).alias("intensity_percentile"), F.round((F.col("slope") - F.col("m")) / (F.col("s") + 1e-9), 4).alias("slope_norm"), X.region_hint(F.col("active_fraction_t0"), F.col("n_cells_t0")).alias("recommended_N_hint"))
+    e = S.share_below(e, "slope", "pct").withColumn("_m", R.one_row(m))
+    return e.select("id", F.round("pct", 4).alias("intensity_percentile"), F.round((F.col("slope") - F.col("_m.m")) / (F.col("_m.s") + 1e-9), 4).alias("slope_norm"), X.region_hint(F.col("active_fraction_t0"), F.col("n_cells_t0")).alias("recommended_N_hint"))
 
 
 def c02_spatial_rules(spark, sf_dir):
