@@ -5,12 +5,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from ..kernels import raster
-from .relational import anti, bbox_overlap, keep_first, lookup
+from ..session import settle
+from .relational import anti, bbox_overlap, keep_first
 
 GRID = "cache_key string, h int, w int, data array<double>, source string"
 
@@ -47,7 +49,7 @@ def regrid(extents: DataFrame, tiles: DataFrame, h: int, w: int, nearest: bool =
 
     made = hit.withColumnRenamed("values", "values_").groupBy("cache_key").applyInPandas(run, GRID)
     zeros = F.array_repeat(F.lit(0.0), h * w)
-    bare = anti(extents.select("cache_key"), made.select("cache_key"), ["cache_key"]).select("cache_key", F.lit(h).alias("h"), F.lit(w).alias("w"), zeros.alias("data"), F.lit("zero").alias("source"))
+    bare = anti(extents.select("cache_key"), hit.select("cache_key"), ["cache_key"]).select("cache_key", F.lit(h).alias("h"), F.lit(w).alias("w"), zeros.alias("data"), F.lit("zero").alias("source"))
     return made.unionByName(bare)
 
 
@@ -55,17 +57,15 @@ def read_through(spark: SparkSession, cache: str, extents: DataFrame, fetch) ->
     """Grids of all extents: those in the cache are read, the others made by fetch(extents) and added. Fallback grids are not kept, so
     that they are tried again."""
     try:
-        have = spark.read.schema(GRID).parquet(cache)
-        missing = anti(extents, have, ["cache_key"])
-    except Exception as e:
+        missing = anti(extents, spark.read.schema(GRID).parquet(cache), ["cache_key"])
+    except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        have, missing = None, extents
-    new = fetch(missing)
+        missing = extents
+    new = settle(fetch(missing), "grids")
     new.where("source <> 'zero'").write.mode("append").parquet(cache)
     kept = spark.read.schema(GRID).parquet(cache).join(extents.select("cache_key"), "cache_key", "left_semi")
-    zero = anti(extents.select("cache_key"), kept, ["cache_key"])
-    return kept.unionByName(fetch(lookup(zero, extents, ["cache_key"])))
+    return kept.unionByName(new.where("source = 'zero'"))
 
 
 def for_events(events: DataFrame, grids: DataFrame) -> DataFrame:

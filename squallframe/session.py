@@ -29,12 +29,14 @@ def local_session(cpus: int | str = "*", app: str = "squallframe", shuffle_parti
 
 
 def ship(spark: SparkSession) -> None:
-    """Give this package to the executors, once for each context; they need no installation of it."""
+    """Give this package to the executors, once for each context; they need no installation of it. The archive lies in the shared
+    folder where that is a file system, else with the driver, which serves it."""
     sc = spark.sparkContext
     if getattr(sc, "_squallframe_shipped", False):
         return
     here = Path(__file__).resolve().parent
-    folder = Path(tempfile.mkdtemp(prefix="squallframe-zip-"))
+    root = shared_root(spark)
+    folder = Path(local_path(work_dir(spark, "package")) if root.startswith("file:") else tempfile.mkdtemp(prefix="squallframe-zip-"))
     at = folder / "squallframe_pkg.zip"
     with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(here.rglob("*.py")):
