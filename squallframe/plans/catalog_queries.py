@@ -313,6 +313,10 @@ select event_id, N, {_r('v')} as runtime_s from (select *, row_number() over (pa
   case when isnan(lon) then null else lon end as lon, case when isnan(energy) then null else energy end as energy from flashes)
 select id, count(*) as n, round(max(energy), 6) as most from f join ext using (id) where lon between lon1 and lon2 and lat between lat1 and lat2 group by id""",
     "f08_flash_frames": f"select {_PID.format('event_id')} as id, cast(floor(t_off / 300) as int) as frame, count(*) as n from flashes where t_off is not null and not isnan(t_off) and event_id is not null group by 1, 2",
+    "f25_lambert": f"""with {_EXT}, k as (select ln(cos(radians(30)) / cos(radians(60))) / ln(tan(pi() / 4 + radians(60) / 2) / tan(pi() / 4 + radians(30) / 2)) as n),
+f as (select n, cos(radians(30)) * power(tan(pi() / 4 + radians(30) / 2), n) / n as f from k),
+g as (select id, n, 6370000 * f / power(tan(pi() / 4 + radians(38) / 2), n) as r0, 6370000 * f / power(tan(pi() / 4 + radians(lat1) / 2), n) as r, n * radians(lon1 + 98) as th from ext, f)
+select id, round(r * sin(th), 2) as x, round(r0 - r * cos(th), 2) as y from g""",
     "j01_semi": f"with {CAT_SQL}, {_EV} select id, img_type from cat where id in (select id from ev where lifecycle_class = 'steady')",
     "j02_left": f"with {CAT_SQL}, {_EV} select cat.id, file_name, lifecycle_class from cat left join ev using (id) where img_type = 'vil'",
     "j04_resume": f"with {RUNS_SQL}, w as (select distinct event_id, gn from runs, (values (100), (200), (300)) g(gn)) select event_id, gn as N from w where not exists (select 1 from runs r where r.event_id = w.event_id and r.N = w.gn)",

@@ -143,6 +143,14 @@ def a27_mann_whitney(spark, sf_dir):
     return _rounded(S.mann_whitney_less(runs(spark, sf_dir), "lifecycle_class", "J_imex", "STEADY", "PLATEAU"), 6)
 
 
+def a26_coefficients(spark, sf_dir):
+    return _rounded(S.correlations(runs(spark, sf_dir), "runtime_s", "E_super_est").select("n", "pearson", "spearman"), 6)
+
+
+def a27_rank_sum(spark, sf_dir):
+    return _rounded(S.mann_whitney_less(runs(spark, sf_dir), "lifecycle_class", "J_imex", "STEADY", "PLATEAU").select("n_a", "n_b", "u"), 6)
+
+
 def a28_quantiles(spark, sf_dir):
     r = runs(spark, sf_dir).where("lifecycle_class is not null")
     return _rounded(r.groupBy("lifecycle_class").agg(F.median("J_imex").alias("j_median"), F.percentile("J_imex", F.lit(0.98)).alias("j_p98"), F.percentile("FAE", F.lit(0.25)).alias("fae_p25")))
@@ -416,7 +424,12 @@ c as (select event_id, lifecycle_class, row_number() over (partition by event_id
     "a19_pivot": f"with {RUNS_SQL} select lifecycle_class, {', '.join(f'round(avg(runtime_s) filter (where N = {n}) + 3.1e-08, 6) as n{n}' for n in (100, 200, 400, 800))} from runs where lifecycle_class is not null group by 1",
     "a20_numeric_means": f"with {RUNS_SQL} select lifecycle_class, {', '.join(f'round(avg({n}) + 3.1e-08, 6) as {n}' for n, t in SWEEP_FIELDS if t != 'string')} from runs where lifecycle_class is not null group by 1",
     "a17_distinct": f"with {RUNS_SQL} select lifecycle_class, count(distinct event_id) as n_events, count(distinct N) as n_counts, count(*) as n_rows from runs group by 1",
-    "a26_correlations": None,
+    "a26_coefficients": f"""with {RUNS_SQL}, g as (select runtime_s as x, E_super_est::double as y from runs where runtime_s is not null and E_super_est is not null),
+r as (select x, y, {_RANK_SQL.format('x')} as rx, {_RANK_SQL.format('y')} as ry from g)
+select count(*) as n, {_r('corr(x, y)')} as pearson, {_r('corr(rx, ry)')} as spearman from r""",
+    "a27_rank_sum": f"""with {RUNS_SQL}, g as (select lifecycle_class as c, J_imex as v from runs where lifecycle_class in ('STEADY', 'PLATEAU') and J_imex is not null),
+r as (select c, {_RANK_SQL.format('v')} as r from g), k as (select count(*) filter (where c = 'STEADY') as na, count(*) as n, sum(r) filter (where c = 'STEADY') as s from r)
+select cast(na as int) as n_a, cast(n - na as int) as n_b, {_r('s - na * (na + 1) / 2')} as u from k""",
     "d12_thresholds": f"{_LATEST} select round(quantile_cont(slope, 0.85) + 3.1e-08, 6) as growth, round(quantile_cont(slope, 0.15) + 3.1e-08, 6) as decay, round(quantile_cont(abs(slope), 0.25) + 3.1e-08, 6) as stable, round(quantile_cont(mean_mass, 0.75) + 3.1e-08, 6) as high_mass, round(quantile_cont(mean_mass, 0.10) + 3.1e-08, 6) as noise_mass from ev",
     "d08_lifecycle": f"""{_LATEST}, e as (select *, {_PHASE_SQL} as ph from ev where slope is not null and mean_mass is not null),
 t as (select quantile_cont(slope, 0.85) as g, quantile_cont(slope, 0.15) as d, quantile_cont(abs(slope), 0.25) as s, quantile_cont(mean_mass, 0.75) as h, quantile_cont(mean_mass, 0.10) as q from e)
