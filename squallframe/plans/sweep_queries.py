@@ -135,6 +135,23 @@ def w12_head_tail(spark, sf_dir):
     return _rounded(g)
 
 
+def d17_subclass_stability(spark, sf_dir):
+    """Plateaus of steady events whose spatial class depends on the rule, against those for which both rules agree."""
+    e = latest_events(spark, sf_dir).where("lifecycle_class = 'steady' and active_fraction_t0 is not null and n_cells_t0 is not null and max_cell_area_t0 is not null")
+    args = (F.col("n_cells_t0"), F.col("max_cell_area_t0"), F.col("active_fraction_t0"))
+    e = e.select(F.col("id").alias("event_id"), (D.spatial_type(*args) != D.spatial_subclass(*args)).alias("subclass_changed"))
+    p = S.plateau(runs(spark, sf_dir).where("J_imex is not null"), ["event_id"], "N", "J_imex")
+    g = R.lookup(p, e, ["event_id"], "inner").groupBy("subclass_changed")
+    return _rounded(g.agg(F.count(F.lit(1)).alias("events"), F.median("plateau_width").alias("width_median"), F.percentile("plateau_width", F.lit(0.98)).alias("width_p98"), F.median("n_star").alias("n_star_median")))
+
+
+def d19_report(spark, sf_dir):
+    """The recommendation as lines of text, one for each class."""
+    r = D.recommend(_class_agg(spark, sf_dir))
+    line = F.format_string("%s: N=%d of %d events (vote %d, LFS ceiling %d, VRAM ceiling %d; %s)", "lifecycle_class", "recommended_N", "n_events", "majority_vote_N", "lfs_ceiling_N", "vram_ceiling_N", "binding_constraint")
+    return r.select(line.alias("line"))
+
+
 def a26_correlations(spark, sf_dir):
     return _rounded(S.correlations(runs(spark, sf_dir), "runtime_s", "E_super_est"), 6)
 
@@ -457,4 +474,8 @@ union all select 'steady', max(id) from ev where lifecycle_class = 'steady' havi
     "f09_activations": f"""with {RUNS_SQL} select event_id, N, round(1 / (1 + exp(-5 * (J_imex - 0.6))), 9) as sigmoid, round(J_imex / (1 + exp(-J_imex)), 9) as silu, round(ln(1 + exp(J_imex)), 9) as softplus,
   round((exp(2 * J_imex) - 1) / (exp(2 * J_imex) + 1), 9) as tanh, round(case when J_imex >= 0 then J_imex else 0.2 * J_imex end, 9) as leaky from runs where J_imex is not null""",
 }
-SQL = {k: v for k, v in SQL.items() if v}
+SQL["d17_subclass_stability"] = f"""{_PLATEAU}, {EVENTS_SQL}, e as (select id, ({_TYPE}) <> ({_SUB}) as subclass_changed from ev
+  where lifecycle_class = 'steady' and active_fraction_t0 is not null and n_cells_t0 is not null and max_cell_area_t0 is not null)
+select subclass_changed, count(*) as events, {_r('median(plateau_width)')} as width_median, {_r('quantile_cont(plateau_width, 0.98)')} as width_p98, {_r('median(n_star)')} as n_star_median from p join e on e.id = p.event_id group by 1"""
+SQL["d19_report"] = f"""select printf('%s: N=%d of %d events (vote %d, LFS ceiling %d, VRAM ceiling %d; %s)', lifecycle_class, recommended_N, n_events, majority_vote_N, lfs_ceiling_N, vram_ceiling_N, binding_constraint) as line
+from ({SQL["d05_recommend"]})"""
