@@ -63,6 +63,11 @@ def joint_scores(agg: DataFrame, by: list[str], n: str, isv: str, lfs: str, alph
     return agg.withColumn("quality", q).withColumn("stiffness", s).withColumn("joint", F.col("quality") - alpha * F.col("stiffness"))
 
 
+def _settled(c: Column, digits: int) -> Column:
+    """Rounded, with a nudge: means of a few short decimals are often exact ties, which the order of summation must not decide."""
+    return F.round(c + 3.1 * 10.0 ** -(digits + 2), digits)
+
+
 def recommend(agg: DataFrame, alpha: float = ALPHA, tol: float = LFS_TOL, batch: int = BATCH, budget: float = BUDGET_MB) -> DataFrame:
     """The recommended N of each class. agg: sweep_aggregate() by class and N; classes with fewer than three N are left out.
 
@@ -86,9 +91,9 @@ def recommend(agg: DataFrame, alpha: float = ALPHA, tol: float = LFS_TOL, batch:
     e = X.super_edges(F.col("r.N"))
     return out.select(
         "lifecycle_class", "n_events", "isv_elbow_N", "fae_elbow_N", "mdv_elbow_N", "tbr_elbow_N", "br_elbow_N", "lfs_ceiling_N", "vram_ceiling_N", "joint_optimal_N", "majority_vote_N",
-        F.col("r.N").alias("recommended_N"), "binding_constraint", F.round("r.ISV_mean", 6).alias("isv_at_rec"), F.round("r.LFS_mean", 6).alias("lfs_at_rec"), F.round("r.quality", 4).alias("quality_at_rec"),
-        F.round("r.stiffness", 4).alias("stiffness_at_rec"), F.round("r.joint", 4).alias("joint_score_at_rec"), e.alias("e_super_at_rec"), F.round(X.edge_memory_mb(e, batch), 1).alias("vram_at_rec_mb"),
-        F.round("r.ISV_rel_ci_pct", 1).alias("isv_ci_pct_at_rec"), "vote_breakdown",
+        F.col("r.N").alias("recommended_N"), "binding_constraint", _settled(F.col("r.ISV_mean"), 6).alias("isv_at_rec"), _settled(F.col("r.LFS_mean"), 6).alias("lfs_at_rec"), _settled(F.col("r.quality"), 4).alias("quality_at_rec"),
+        _settled(F.col("r.stiffness"), 4).alias("stiffness_at_rec"), _settled(F.col("r.joint"), 4).alias("joint_score_at_rec"), e.alias("e_super_at_rec"), _settled(X.edge_memory_mb(e, batch), 1).alias("vram_at_rec_mb"),
+        _settled(F.col("r.ISV_rel_ci_pct"), 1).alias("isv_ci_pct_at_rec"), "vote_breakdown",
     )
 
 

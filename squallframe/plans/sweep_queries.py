@@ -397,8 +397,8 @@ rec as (select * from (select raw.*, joint.N, ISV_mean, LFS_mean, quality, stiff
 select lifecycle_class, n_events, isv_elbow_N, fae_elbow_N, mdv_elbow_N, tbr_elbow_N, br_elbow_N, lfs_ceiling_N, vram_ceiling_N, joint_optimal_N, majority_vote_N, N as recommended_N,
   case when majority_vote_N <= lfs_ceiling_N and majority_vote_N <= vram_ceiling_N then 'none (quality-dominated)'
     when majority_vote_N > lfs_ceiling_N and majority_vote_N > vram_ceiling_N then 'LFS-stiffness + VRAM' when majority_vote_N > lfs_ceiling_N then 'LFS-stiffness' else 'VRAM' end as binding_constraint,
-  round(ISV_mean, 6) as isv_at_rec, round(LFS_mean, 6) as lfs_at_rec, round(quality, 4) as quality_at_rec, round(stiffness, 4) as stiffness_at_rec, round(joint, 4) as joint_score_at_rec,
-  {_E} as e_super_at_rec, round({_E} * 32 * 6 * 4 / 1e6, 1) as vram_at_rec_mb, round(ISV_rel_ci_pct, 1) as isv_ci_pct_at_rec, vote_breakdown from rec""",
+  round(ISV_mean + 3.1e-08, 6) as isv_at_rec, round(LFS_mean + 3.1e-08, 6) as lfs_at_rec, round(quality + 3.1e-06, 4) as quality_at_rec, round(stiffness + 3.1e-06, 4) as stiffness_at_rec, round(joint + 3.1e-06, 4) as joint_score_at_rec,
+  {_E} as e_super_at_rec, round({_E} * 32 * 6 * 4 / 1e6 + 0.0031, 1) as vram_at_rec_mb, round(ISV_rel_ci_pct + 0.0031, 1) as isv_ci_pct_at_rec, vote_breakdown from rec""",
     "d10_gated_joint": f"""with {RUNS_SQL}, g0 as (select *, count(*) over w as k, count(*) filter (where intra_sp_var_mean is null or LFS is null or FAE is null or MDV is null or boundary_recall_mean is null or temporal_br_std is null) over w as bad,
     {_E}::double as e from runs window w as (partition by event_id)),
 g as (select *, 1 - boundary_recall_mean as bi from g0 where k >= 3 and bad = 0),
