@@ -36,7 +36,7 @@ def ship(spark: SparkSession) -> None:
         return
     here = Path(__file__).resolve().parent
     root = shared_root(spark)
-    folder = Path(local_path(work_dir(spark, "package")) if root.startswith("file:") else tempfile.mkdtemp(prefix="squallframe-zip-"))
+    folder = Path(local_path(work_dir(spark, "package")) if is_local(root) else tempfile.mkdtemp(prefix="squallframe-zip-"))
     at = folder / "squallframe_pkg.zip"
     with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(here.rglob("*.py")):
@@ -65,11 +65,15 @@ def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below shared_root(); the caller writes it once."""
     root = shared_root(spark)
     at = f"{root}/squallframe/{name}-{uuid.uuid4().hex[:12]}"
-    if at.startswith("file:"):
+    if is_local(at):
         os.makedirs(local_path(at), exist_ok=True)
     return at
 
 
+def is_local(uri: str) -> bool:
+    return uri.startswith(("file:", "/"))
+
+
 def local_path(uri: str) -> str:
     return uri[5:].replace("///", "/", 1).replace("//", "/", 1) if uri.startswith("file:") else uri
 
