@@ -13,10 +13,46 @@ CLEAN = [
 def repairer():
     r = np.random.default_rng(0)
     texts = [" ".join(CLEAN[k] for k in r.permutation(len(CLEAN))) for _ in range(300)]
-    cps = E.code_points("\n".join(["", *texts, *(c for c in CLEAN for _ in range(100)), ""]))
-    pairs = np.bincount(E.pair_slots(cps[:-1], cps[1:]), minlength=E.PAIRS)
-    chars = np.bincount(np.minimum(cps, E.CHARS - 1).astype(np.int64), minlength=E.CHARS)
-    return E.Repairer(E.PairModel.of_counts(pairs, chars))
+    pairs, chars, codes = np.zeros(E.PAIRS, np.int64), np.zeros(E.CHARS, np.int64), np.zeros(E.PAIRS, np.int64)
+    E.tally([*texts, *(c for c in CLEAN for _ in range(100))], pairs, chars, codes)
+    return E.Repairer(E.PairModel.of_counts(pairs, chars, codes))
+
+
+def test_the_bound_splits_the_pairs(repairer):
+    met = repairer.model.bits > repairer.model.bits.min()
+    assert (repairer.model.weight[met] > 0).any() and (repairer.model.weight[met] < 0).any()
+    assert (repairer.model.weight[~met] == E.MOST).all()
+
+
+def test_runs_leave_most_sound_text_out(repairer):
+    total = inside = 0
+    for t in CLEAN:
+        p = f"\n{t}\n"
+        cps = E.code_points(p)
+        w = repairer.weights(p, cps)
+        beyond = (cps[:-1] > 127) | (cps[1:] > 127)
+        covered = np.zeros(len(w), bool)
+        for i, j in E.segments(w):
+            covered[i:j] = True
+        total, inside = total + beyond.sum(), inside + (beyond & covered).sum()
+    assert inside < 0.25 * total
+
+
+def test_nothing_outside_the_runs_is_mapped(repairer, monkeypatch):
+    bad = CLEAN[1].encode().decode("cp1252")
+    assert repairer.check(bad)
+    monkeypatch.setattr(E.Repairer, "runs", staticmethod(lambda w, c: []))
+    assert repairer.check(bad) is None and repairer.check(bad + "\ufffd") is None
+
+
+def test_question_marks_in_any_number_are_examined(repairer):
+    assert repairer._lost("e ????? d") == repairer._lost("e ????? d") and len(E._LOST.findall("a ????? b")) == 1
+    assert repairer.check("Is it??? Yes") is None or repairer.check("Is it??? Yes").kind == "lost"
+
+
+@pytest.mark.parametrize("text", ["\ufffd", 'It prints "\ufffd" where "\u00b0" stood', "\u201c\ufffd\u201d"])
+def test_quoted_replacement_characters_are_talk(repairer, text):
+    assert repairer.check(text) is None
 
 
 @pytest.mark.parametrize("text", [*CLEAN, "", None, " ", "plain ascii", "a?b ok?", 'The legend prints "Ã¼" where "ü" was meant.', "T=3 &deg;C &gt; 2", "x" * 100_000, "╔══╗ ░░"])
@@ -84,3 +120,16 @@ def test_copies_do_not_become_the_norm(spark):
     rows = [(i, f"{t} #{i}") for i, t in enumerate(CLEAN * 20)] + [(10_000 + i, CLEAN[1].encode().decode("cp1252")) for i in range(100)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(2)
     assert E.find_damage(df, E.count_pairs(df)).count() == 100
+
+
+def test_counts_do_not_depend_on_the_partitioning(spark):
+    rows = [(i, t) for i, t in enumerate([*CLEAN, None, "", "x" * 50_000] * 7)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    a, b = E.count_pairs(df.repartition(1)), E.count_pairs(df.repartition(9))
+    assert (a.bits == b.bits).all() and (a.single == b.single).all() and (a.weight == b.weight).all() and a.frequent == b.frequent
+    assert sorted(r.text for r in E.single_copies(df).collect()) == sorted([*CLEAN, "x" * 50_000])
+
+
+def test_lost_signs_have_no_restored_text(repairer):
+    got = repairer.check(CLEAN[1].encode("cp1252").decode("utf-8", "replace"))
+    assert got.kind == "lost" and got.text is None
