@@ -48,6 +48,8 @@ WALL = -1e9
 NONE = 1e-12
 #: Bits that a restored text must gain: by UTF-8 or multi-byte mappings, between code pages, by filling in lost signs.
 GAIN_MULTI, GAIN_SINGLE, GAIN_LOST = 5.0, 10.0, 10.0
+#: Bits from which a run counts for a map between code pages.
+LEAST_PAGE = 2.0
 #: Bits that filling in a single question mark must gain to count.
 GAIN_MARK = 9.0
 
@@ -310,6 +312,7 @@ def _double_bytes(s: str, name: str) -> bytes | None:
     return bytes(out)
 
 
+_DIGITS = str.maketrans("123456789\t", "000000000 ")
 _TWO = re.compile(r"[^\x00-\x7f]{2}")
 _UTF7 = re.compile(r"\+[A-Za-z0-9/+]{3,}-?")
 _LOST = re.compile("\\?+[^\\x00-\\x7f\ufffd]?|\ufffd+")
@@ -450,7 +453,7 @@ class Repairer:
                         gain = self._gain(left, s, u, right)
                         if gain > best[0] and self._likelier(s, u, 4.0) and self._likelier(t, u, 4.0):
                             best = (gain, *level_next[-1])
-            level = level_next
+            level = [x for x in level_next if _TWO.search(x[0])]
         return best
 
     def _double(self, s: str, left: str, right: str) -> tuple[float, str, str]:
@@ -581,13 +584,17 @@ class Repairer:
             kinds[how] = kinds.get(how, 0.0) + gain
             taken[i:j] = True
 
+        like = padded if "+" in padded else padded.translate(_DIGITS)  # no mapping but UTF-7 changes a digit
+        runs = [(i, j) for i, j in runs if not self._sound(like[i - 1 : j + 1], lower)]
+        if not runs:
+            return Finding()
         single = self._single(padded, runs)
         later = []  # runs in which the map between code pages gains more
         for i, j in runs:
             s = padded[i:j]
             if s.isascii() and "\x00" not in s and "+" not in s:
                 continue
-            gain, t, how = self._reading(s, padded[max(0, i - 1) : i], padded[j : j + 1], lower)
+            gain, t, how = self._reading(s, padded[i - 1], padded[j], lower)
             if gain >= GAIN_MULTI and not self._quoted(padded, i, j, s, t):
                 if gain > single[1].get((i, j), 0.0):
                     accept(i, j, t, how, gain)
@@ -602,7 +609,7 @@ class Repairer:
         for i, j, t, name, gain in later:
             if not taken[i:j].any():
                 accept(i, j, t, name, gain)
-        lost = sum(self._lost(padded[max(0, i - 1) : j + 1]) for i, j in runs if not taken[i:j].any())
+        lost = sum(self._lost(padded[i - 1 : j + 1]) for i, j in runs if not taken[i:j].any())
         if lost >= GAIN_LOST:
             kinds["lost"] = lost
         out, at = [], 0
@@ -612,6 +619,17 @@ class Repairer:
         text = "".join([*out, padded[at:]])[1:-1] if edits else None
         return Finding(max(kinds, key=kinds.get) if kinds else "", sum(kinds.values()), text, edits)
 
+    @_kept
+    def _sound(self, around: str, lower: bool) -> bool:
+        """Whether no mapping and no filling gains in a run, given with its neighbours."""
+        s = around[1:-1]
+        if self._lost(around):
+            return False
+        if s.isascii() and "\x00" not in s and "+" not in s:
+            return True
+        gains = self._page_gains(around)
+        return (gains is None or float(gains.max()) <= LEAST_PAGE) and self._reading(s, around[0], around[-1], lower)[0] < GAIN_MULTI
+
     @_kept
     def _reading(self, s: str, left: str, right: str, lower: bool) -> tuple[float, str, str]:
         """The reading of a run by more than one byte for a sign that gains most: (gain, text, name)."""
@@ -649,12 +667,12 @@ class Repairer:
 
     def _single(self, padded: str, runs: list[tuple[int, int]]) -> tuple[str, dict[tuple[int, int], float], dict[int, int]]:
         """The one map between code pages that restores most, as (name, gain by run where it gains, translation table)."""
-        gains = {(i, j): g for i, j in runs if (g := self._page_gains(padded[max(0, i - 1) : j + 1])) is not None}
+        gains = {(i, j): g for i, j in runs if (g := self._page_gains(padded[i - 1 : j + 1])) is not None}
         if not gains:
             return "", {}, {}
         each = np.array(list(gains.values()))
-        k = int(np.where(each > 2.0, each, 0.0).sum(axis=0).argmax())
-        return self.pages.names[k], {r: float(g) for r, g in zip(gains, each[:, k]) if g > 2.0}, self.pages.table(k)
+        k = int(np.where(each > LEAST_PAGE, each, 0.0).sum(axis=0).argmax())
+        return self.pages.names[k], {r: float(g) for r, g in zip(gains, each[:, k]) if g > LEAST_PAGE}, self.pages.table(k)
 
     @_kept
     def _lost(self, around: str) -> float:
