@@ -585,7 +585,7 @@ class Repairer:
             taken[i:j] = True
 
         like = padded if "+" in padded else padded.translate(_DIGITS)  # no mapping but UTF-7 changes a digit
-        runs = [(i, j) for i, j in runs if not self._sound(like[i - 1 : j + 1], lower)]
+        runs = [(i, j) for i, j in runs if j - i + 2 > KEEP_CHARS or not self._sound(like[i - 1 : j + 1], lower)]
         if not runs:
             return Finding()
         single = self._single(padded, runs)
