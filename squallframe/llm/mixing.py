@@ -1,14 +1,21 @@
 """Mixing sources to target weights: soft memberships and least-squares rates.
 
-Every document has a membership vector over the sources. A document that names its source belongs to it wholly; one that does
-not gets the posterior of a classifier trained on those that do (naive Bayes over token ids, with counts from all labelled
-documents, computed where they lie). Each mix wants a number of tokens of every source, and each document has a rate between 0
-and the number of times it may be used. The rates minimise the squared distance between expected and wanted tokens by projected
-gradient steps. A document's rate follows from the history of the source residuals alone, so a step is one scan that returns
-one number for each mix and source, and no state of the documents is kept.
+1. A naive Bayes classifier over token ids is fitted on a bounded sample of the documents that name their source (at most
+   about TRAIN_DOCUMENTS of each source, by hash). One pass over all texts then gives every document its tokens and its
+   posterior over the sources.
+2. A document's membership is soft: LABEL_TRUST on the source that it names and the rest by its posterior; a document without
+   a source has its posterior alone.
+3. Each mix wants tokens of every source, and each document has a rate between 0 and the number of times it may be used. The
+   rates minimise the squared distance between the expected tokens of the sources and the wanted ones, by projected gradient
+   steps in the metric in which a step changes tokens in proportion to what there is; a step of length 1 is stable there.
+   Rates follow from the history of the residuals alone, so a step is one scan that returns one number for each mix and
+   source, and no state of the documents is kept.
+4. Where soft memberships leave a source's own documents off its target, finishing steps of the same kind run on the sources
+   that documents name. A source whose documents are all at their cap then and still hold less than wanted is short.
 
 Whole uses are then drawn: the integer part of the rate, and one more for documents whose hash is low enough; the bound is
 moved, by counts of tokens over hash ranges, until the source's tokens come as near to the target as whole documents allow.
+The numbers of steps and passes are limited; a fit or draw that stops at its limit says so (``settled``).
 """
 
 from __future__ import annotations
@@ -17,7 +24,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -25,52 +31,76 @@ from pyspark.sql import functions as F
 
 from ..functions.cleaning import letters_key
 from ..session import broadcast_if_small, settle
-from .stable_sample import salted_hash
+from .stable_sample import salted_hash, threshold
 from .tokens import _slices, codec
 
 #: Pseudo-count of the classifier.
 SMOOTH = 0.1
+#: The classifier learns from about so many documents of each source at most.
+TRAIN_DOCUMENTS = 2000
+#: A text's likelihood counts as that of so many tokens.
+SHARPNESS = 30.0
+#: The share of a document's membership that goes to the source it names; the rest follows its posterior.
+LABEL_TRUST = 0.8
 #: Ranges of the draw for each mix and source.
 RANGES = 4096
 
 
-def measure(documents: DataFrame, model, key: str = "doc_id", text: str = "text", source: str = "source", max_sources: int = 4096) -> tuple[DataFrame, DataFrame]:
-    """(sizes, profile): sizes (doc_id, category, tokens), a row for each document; profile (category, token, n), how often the
-    labelled documents of a category hold a token id. Null and empty texts have no tokens; a null, blank or sign-only source is
-    no category. One pass over the texts; each task sums its own profile before anything is sent."""
-    sizes_schema = "kind int, doc_id bigint, category string, tokens bigint, token int"
-    arrow = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("category", pa.string()), ("tokens", pa.int64()), ("token", pa.int32())])
+def training_sample(documents: DataFrame, names: list[str], key: str = "doc_id", text: str = "text", source: str = "source", most: int | None = None) -> DataFrame:
+    """(text, category): of each named source all its documents, or about ``most`` (TRAIN_DOCUMENTS) of them by hash of the key."""
+    most = TRAIN_DOCUMENTS if most is None else most
+    base = documents.select(F.col(f"`{key}`").cast("string").alias("key"), F.col(f"`{text}`").alias("text"), letters_key(F.col(f"`{source}`")).alias("category")).where(F.col("category").isin(names))
+    counts = base.groupBy("category").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each name
+    bound = F.lit("g")
+    for r in counts:
+        bound = F.when(F.col("category") == r.category, F.lit(threshold(min(1.0, most / r.n)))).otherwise(bound)
+    return base.where(salted_hash(F.coalesce("key", F.lit("")), "mix-train") < bound).select("text", "category")
+
+
+def train(sample: DataFrame, model, names: list[str]) -> Classifier:
+    """A classifier over the given sources from a training_sample(). names is bounded by the caller."""
+    arrow = pa.schema([("category", pa.int32()), ("token", pa.int32()), ("n", pa.int64())])
+    at = {n: i for i, n in enumerate(names)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model.value)
-        sums: dict[str, np.ndarray] = {}
-
-        def profile() -> Iterator[pa.RecordBatch]:
-            for name, n in sums.items():
-                at = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int32)), pa.nulls(len(at), pa.int64()), pa.array([name] * len(at), pa.string()), pa.array(n[at]), pa.array(at.astype(np.int32))], schema=arrow)
+        sums = np.zeros((len(names), c.size + 1), np.int64)  # the last column counts documents
+        for whole in batches:
+            for batch in _slices(whole.select([1, 0])):
+                for name, doc in zip(batch.column(0).to_pylist(), c.encode_batch(batch.column(1).to_pylist())):
+                    sums[at[name]] += np.bincount(np.asarray([*doc, c.size], np.int64), minlength=c.size + 1)
+        i, j = np.nonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(sums[i, j])], schema=arrow)
+
+    size = codec(model.value).size
+    sums = np.zeros((len(names), size + 1))
+    if names:
+        counted = sample.select("text", "category").mapInArrow(run, "category int, token int, n bigint").groupBy("category", "token").agg(F.sum("n").alias("n"))
+        for b in counted.toArrow().to_batches():  # at most names x vocabulary rows
+            sums[b.column(0).to_numpy(), b.column(1).to_numpy()] = b.column(2).to_numpy()
+    smooth = sums[:, :size] + SMOOTH
+    docs = sums[:, size] + 0.5
+    weight = (np.log(smooth) - np.log(smooth.sum(axis=1, keepdims=True))).astype(np.float32)
+    return Classifier(names, weight, np.log(docs / docs.sum()) if names else np.zeros(0))
+
+
+def measure(documents: DataFrame, model, classifier: Classifier, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """(doc_id, category, tokens, posterior array<double>), a row for each document, in one pass over the texts. Null and empty
+    texts have no tokens and the prior as posterior; a null, blank or sign-only source is no category."""
+    ship = documents.sparkSession.sparkContext.broadcast(classifier)  # names x vocabulary
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(model.value)
         for whole in batches:
             for batch in _slices(whole):
                 ids = c.encode_batch(batch.column(1).to_pylist())
-                names = batch.column(2).to_pylist()
-                for name, doc in zip(names, ids):
-                    if name is not None and doc:
-                        if name not in sums:
-                            if len(sums) >= max_sources:  # pathological labels: hand over what there is and go on
-                                yield from profile()
-                                sums.clear()
-                            sums[name] = np.zeros(c.size, np.int64)
-                        at, n = np.unique(np.asarray(doc, np.int32), return_counts=True)
-                        sums[name][at] += n
                 k = len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), batch.column(0), batch.column(2), pa.array(np.fromiter(map(len, ids), np.int64, k)), pa.nulls(k, pa.int32())], schema=arrow)
-        yield from profile()
+                p = ship.value.posteriors(ids)
+                each = pa.ListArray.from_arrays(pa.array(np.arange(k + 1) * p.shape[1], pa.int32()), pa.array(p.ravel(), pa.float64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.fromiter(map(len, ids), np.int64, k)), each], names=["doc_id", "category", "tokens", "posterior"])
 
     base = documents.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"), letters_key(F.col(f"`{source}`")).alias("category"))
-    both = settle(base.mapInArrow(run, sizes_schema), "mix-measure")
-    sizes = both.where("kind = 0").select("doc_id", "category", "tokens")
-    return sizes, both.where("kind = 1").groupBy("category", "token").agg(F.sum("tokens").alias("n"))
+    return settle(base.mapInArrow(run, "doc_id bigint, category string, tokens bigint, posterior array<double>"), "mix-measure")
 
 
 @dataclass
@@ -82,45 +112,23 @@ class Classifier:
     prior: np.ndarray
 
     def posteriors(self, ids: list[list[int]]) -> np.ndarray:
+        """(documents, names). The likelihood counts as SHARPNESS tokens of the document's average: naive Bayes takes the tokens
+        of a text for independent, which they are not, and would be as good as certain of every longer one."""
         out = np.tile(self.prior, (len(ids), 1))
         if not self.names or not len(ids):
             return out
-        for i, doc in enumerate(ids):
-            if doc:
-                at, n = np.unique(np.asarray(doc, np.int32), return_counts=True)
-                out[i] += self.weight[:, at] @ n
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        some = np.flatnonzero(sizes)
+        if len(some):
+            flat = np.fromiter((t for d in ids for t in d), np.int64, int(sizes.sum()))
+            starts = (np.cumsum(sizes) - sizes)[some]
+            for k, row in enumerate(self.weight):
+                out[some, k] += np.add.reduceat(row[flat].astype(np.float64), starts) / sizes[some] * SHARPNESS
         out -= out.max(axis=1, keepdims=True)
         p = np.exp(out)
         return p / p.sum(axis=1, keepdims=True)
 
 
-def train(sizes: DataFrame, profile: DataFrame, names: list[str], vocabulary: int) -> Classifier:
-    """A classifier over the given categories, from the profile of all their documents. names is bounded by the caller."""
-    at = {n: i for i, n in enumerate(names)}
-    counts, docs = np.zeros((len(names), vocabulary)), np.full(len(names), 0.5)
-    for r in profile.where(F.col("category").isin(names)).toLocalIterator():
-        counts[at[r.category], r.token] = r.n
-    for r in sizes.where(F.col("category").isin(names)).groupBy("category").agg(F.count(F.lit(1)).alias("n")).collect():
-        docs[at[r.category]] += r.n
-    smooth = counts + SMOOTH
-    return Classifier(names, (np.log(smooth) - np.log(smooth.sum(axis=1, keepdims=True))).astype(np.float32), np.log(docs / docs.sum()))
-
-
-def classify(documents: DataFrame, model, classifier: Classifier, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, tokens, posterior array<double>) with the classifier's names as positions."""
-    ship = documents.sparkSession.sparkContext.broadcast(classifier)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(model.value)
-        for whole in batches:
-            for batch in _slices(whole):
-                ids = c.encode_batch(batch.column(1).to_pylist())
-                p = ship.value.posteriors(ids)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.fromiter(map(len, ids), np.int64, len(ids))), pa.array(list(p), pa.list_(pa.float64()))], names=["doc_id", "tokens", "posterior"])
-
-    return documents.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, "doc_id bigint, tokens bigint, posterior array<double>")
-
-
 def wanted(targets: DataFrame) -> DataFrame:
     """Targets with their category, wanted tokens and cap: (mix_id, source, category, want, cap, total). Null weights, totals and
     uses count as 0; of several targets with one mix and category the sum is wanted and the largest cap holds."""
@@ -132,48 +140,89 @@ def wanted(targets: DataFrame) -> DataFrame:
 
 @dataclass
 class Fit:
-    """mixes and names index want, cap and got; steps is the history of scaled residuals that rates are computed from."""
+    """mixes and names index want and cap. steps: the history that rates are computed from, each the scaled residuals (mixes,
+    names) and whether it was taken on the named sources alone. got: expected tokens by membership; given: tokens of the
+    documents that name a source (or, without one, most likely belong to it); settled: no step limit was hit."""
 
     mixes: list[int]
     names: list[str]
     want: np.ndarray
     cap: np.ndarray
-    start: np.ndarray
-    steps: list[np.ndarray]
-    got: np.ndarray
     loose: float
+    trust: float
+    steps: list[tuple[np.ndarray, bool]]
+    got: np.ndarray
+    given: np.ndarray
+    settled: bool = True
 
-    def rates(self, tokens: np.ndarray, member: np.ndarray, named: np.ndarray) -> np.ndarray:
-        """(documents, mixes): rates of documents with memberships (documents, names). A document may be used as often as the
-        source allows to which it mostly belongs, one without a source ``loose`` times."""
+    def members(self, category: np.ndarray, posterior: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(soft, own, top): memberships (documents, names), the position of the source a document counts for (-1: none), and the
+        most uses (documents, mixes)."""
         if not self.names or not self.mixes:
-            return np.zeros((len(tokens), len(self.mixes)))
-        own = member.argmax(axis=1)
-        some = member.max(axis=1) > 0
-        top = np.where(some[:, None], np.where(named[:, None], self.cap[:, own].T, np.minimum(self.cap[:, own].T, self.loose)), 0.0)
-        r = np.clip(member @ self.start.T, 0.0, top)
-        for g in self.steps:
-            r = np.clip(r - tokens[:, None] * (member @ g.T), 0.0, top)
+            k = len(category)
+            return np.zeros((k, len(self.names))), np.full(k, -1), np.zeros((k, len(self.mixes)))
+        at = {n: i for i, n in enumerate(self.names)}
+        own = np.fromiter((at.get(c, -1) if c is not None else -2 for c in category), np.int64, len(category))
+        stray = own == -2
+        soft = np.where(stray[:, None], posterior, (1 - self.trust) * posterior)
+        named = np.flatnonzero(own >= 0)
+        soft[named, own[named]] += self.trust
+        soft[own == -1] = 0.0  # of a source that no mix has
+        if stray.any():
+            own = np.where(stray, posterior.argmax(axis=1) if self.loose > 0 else -1, own)
+        top = np.where((own >= 0)[:, None], self.cap[:, own].T, 0.0)
+        return soft, own, np.where(stray[:, None], np.minimum(top, self.loose), top)
+
+    def rates(self, soft: np.ndarray, own: np.ndarray, top: np.ndarray) -> np.ndarray:
+        """(documents, mixes): the rate of every document."""
+        r = np.zeros((len(own), len(self.mixes)))
+        for g, hard in self.steps:
+            r = np.clip(r - (np.where((own >= 0)[:, None], g[:, own].T, 0.0) if hard else soft @ g.T), 0.0, top)
         return r
 
 
-def _members(pdf: pd.DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    at = {n: i for i, n in enumerate(names)}
-    own = pdf["category"].map(at)
-    named = pdf["category"].notna().to_numpy()
-    member = np.zeros((len(pdf), len(names)))
-    rows = np.flatnonzero(own.notna())
-    member[rows, own.iloc[rows].astype(int)] = 1.0
-    for i in np.flatnonzero(~named):
-        p = pdf["posterior"].iloc[i]
-        if p is not None and len(p) == len(names):
-            member[i] = p
-    return pdf["tokens"].to_numpy(np.float64), member, named
-
-
-def fit_rates(docs: DataFrame, targets: DataFrame, names: list[str], loose: float = 0.0, steps: int = 30, tolerance: float = 1e-3) -> Fit:
-    """Rates for all mixes at once. docs: category, tokens, posterior (null for labelled documents). targets: wanted(); its rows
-    are few by nature (mixes x sources) and lie on the driver, as do the sums of tokens by mix and source."""
+def _columns(batch: pa.RecordBatch, fit: Fit, tokens: int, category: int, posterior: int) -> tuple[np.ndarray, tuple]:
+    k = len(fit.names)
+    p = batch.column(posterior).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, k) if k else np.zeros((batch.num_rows, 0))
+    return batch.column(tokens).to_numpy(zero_copy_only=False).astype(np.float64), fit.members(batch.column(category).to_numpy(zero_copy_only=False), p)
+
+
+def _totals(docs: DataFrame, fit: Fit) -> dict[str, np.ndarray]:
+    """One scan: by mix and source the tokens expected and given at the current rates, and by source those held, softly and by
+    name (all of them as (mixes, names))."""
+    m, n = len(fit.mixes), len(fit.names)
+    kinds = ("got", "given", "soft", "held")
+    arrow = pa.schema([("kind", pa.int32()), ("m", pa.int32()), ("k", pa.int32()), ("v", pa.float64())])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((4, m, n))
+        for b in batches:
+            t, (soft, own, top) = _columns(b, fit, 1, 0, 2)
+            used = fit.rates(soft, own, top) * t[:, None]
+            out[0] += used.T @ soft
+            some = own >= 0
+            one = np.zeros_like(soft)
+            one[np.flatnonzero(some), own[some]] = 1.0
+            out[1] += used.T @ one
+            may = (top > 0) * t[:, None]
+            out[2] += may.T @ soft
+            out[3] += may.T @ one
+        kind, i, j = (x.ravel().astype(np.int32) for x in np.indices(out.shape))
+        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(i), pa.array(j), pa.array(out.ravel())], schema=arrow)
+
+    got = {k: np.zeros((m, n)) for k in kinds}
+    if m and n:
+        for r in docs.select("category", "tokens", "posterior").mapInArrow(sums, "kind int, m int, k int, v double").groupBy("kind", "m", "k").agg(F.sum("v").alias("v")).collect():
+            got[kinds[r.kind]][r.m, r.k] = r.v
+    return got
+
+
+def fit_rates(docs: DataFrame, targets: DataFrame, names: list[str], loose: float = 0.0, trust: float | None = None, steps: int = 30, tolerance: float = 1e-3, improve: float = 0.1) -> Fit:
+    """Rates for all mixes at once. docs: measure(). targets: wanted(); its rows are few by nature (mixes x sources) and lie on
+    the driver, as do the sums of tokens by mix and source. ``loose``: how often a document without a source may be used. The
+    steps by membership end when all targets are met to ``tolerance`` or a step lessens the squared distance by a share of less
+    than ``improve``; the finishing steps when they are met or nothing changes any more; either at ``steps`` steps, which
+    ``settled`` tells."""
     rows = targets.where("category is not null").groupBy("mix_id", "category").agg(F.sum("want").alias("want"), F.max("cap").alias("cap")).collect()
     mixes = sorted({r.mix_id for r in rows if r.mix_id is not None})
     m, n = len(mixes), len(names)
@@ -181,80 +230,67 @@ def fit_rates(docs: DataFrame, targets: DataFrame, names: list[str], loose: floa
     for r in rows:
         if r.mix_id is not None and r.category in names:
             want[mixes.index(r.mix_id), names.index(r.category)], cap[mixes.index(r.mix_id), names.index(r.category)] = r.want, r.cap
-
-    def totals(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, curve = np.zeros(n), np.zeros(n)
-        for pdf in pdfs:
-            t, member, named = _members(pdf, names)
-            use = np.where(named, 1.0, 1.0 if loose > 0 else 0.0)
-            held += (t * use) @ member
-            curve += (t * t * use) @ member
-        yield pd.DataFrame({"k": range(n), "held": held, "curve": curve})
-
-    held, curve = np.zeros(n), np.zeros(n)
-    slim = docs.select("category", "tokens", "posterior")
-    for r in slim.mapInPandas(totals, "k int, held double, curve double").groupBy("k").agg(F.sum("held").alias("held"), F.sum("curve").alias("curve")).collect():
-        held[r.k], curve[r.k] = r.held, r.curve
-    start = np.where(held > 0, np.minimum(cap, want / np.maximum(held, 1e-9)), 0.0)
-    fit = Fit(mixes, names, want, cap, start, [], np.zeros((m, n)), loose)
-    for _ in range(steps + 1):
-        fit.got = expected(slim, fit)
-        gap = fit.got - want
-        room = np.where(gap < 0, fit.got < cap * held * (1 - 1e-9), True)  # a source that is used up cannot give more
-        if not (np.abs(gap) > tolerance * np.maximum(want, 1.0))[room].any() or len(fit.steps) == steps:
-            break
-        fit.steps.append(np.where(curve > 0, gap / np.maximum(curve, 1e-9), 0.0))
+    fit = Fit(mixes, names, want, cap, loose, LABEL_TRUST if trust is None else trust, [], np.zeros((m, n)), np.zeros((m, n)))
+    now = _totals(docs, fit)
+    for hard in (False, True):
+        least = 1.0 if hard or not n else want.mean(axis=1, keepdims=True)  # what a mix does not want comes as spill of what it does
+        near = tolerance * np.maximum(want, np.maximum(least, 1.0))
+        for left in range(steps - 1, -1, -1):
+            reached, held = (now["given"], now["held"]) if hard else (now["got"], now["soft"])
+            fit.got, fit.given = now["got"], now["given"]
+            gap = reached - want
+            if (np.abs(gap) <= near)[held > 0].all():
+                break
+            fit.steps.append((np.where(held > 0, gap / np.maximum(held, 1e-9), 0.0), hard))
+            now = _totals(docs, fit)
+            after = now["given"] if hard else now["got"]
+            if hard and (np.abs(after - reached) <= near / 10).all():  # used up
+                break
+            far = lambda x: float(((x - want) ** 2 / np.maximum(held, 1.0))[want <= cap * held].sum())  # noqa: E731, B023
+            if not hard and far(after) >= (1 - improve) * far(reached):
+                break
+            fit.settled &= left > 0
+        fit.got, fit.given = now["got"], now["given"]
     return fit
 
 
-def expected(docs: DataFrame, fit: Fit) -> np.ndarray:
-    """(mixes, names): the tokens of each source that the rates give on the average; one scan."""
-    m, n = len(fit.mixes), len(fit.names)
-
-    def sums(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = np.zeros((m, n))
-        for pdf in pdfs:
-            t, member, named = _members(pdf, fit.names)
-            out += (fit.rates(t, member, named) * t[:, None]).T @ member
-        yield pd.DataFrame({"m": np.repeat(np.arange(m), n), "k": np.tile(np.arange(n), m), "v": out.ravel()})
-
-    got = np.zeros((m, n))
-    for r in docs.select("category", "tokens", "posterior").mapInPandas(sums, "m int, k int, v double").groupBy("m", "k").agg(F.sum("v").alias("v")).collect():
-        got[r.m, r.k] = r.v
-    return got
-
-
-def shortages(sizes: DataFrame, targets: DataFrame, fit: Fit) -> DataFrame:
-    """The targets with held (tokens of the source), capacity (held times the cap), expected (of the fit) and short: whether the
-    capacity lies below what is wanted. Held tokens are exact sums over all documents of the source."""
-    spark = sizes.sparkSession
-    rows = [(m, k, float(fit.got[i, j])) for i, m in enumerate(fit.mixes) for j, k in enumerate(fit.names)]
-    got = spark.createDataFrame(rows or [(None, None, None)], "_m int, _k string, expected double")
-    held = sizes.where("category is not null").groupBy("category").agg(F.sum("tokens").alias("held"))
+def shortages(docs: DataFrame, targets: DataFrame, fit: Fit) -> DataFrame:
+    """The targets with expected (by the memberships) and given (by name) tokens of the fit, held (tokens of the source), capacity
+    (held times the cap) and short: whether the fit gives less than is wanted though the source is used up. The exact sums of
+    tokens over all its documents have the last word on the second."""
+    spark = docs.sparkSession
+    rows = [(m, k, float(fit.got[i, j]), float(fit.given[i, j])) for i, m in enumerate(fit.mixes) for j, k in enumerate(fit.names)]
+    got = spark.createDataFrame(rows or [(None, None, None, None)], "_m int, _k string, expected double, given double")
+    held = docs.where("category is not null").groupBy("category").agg(F.sum("tokens").alias("held"))
     t = targets.join(held, "category", "left").withColumn("held", F.coalesce("held", F.lit(0)))
-    t = t.join(got, (F.col("mix_id") == F.col("_m")) & (F.col("category") == F.col("_k")), "left").drop("_m", "_k").withColumn("expected", F.coalesce("expected", F.lit(0.0)))
-    return t.withColumn("capacity", F.col("held") * F.col("cap")).withColumn("short", (F.col("expected") < F.col("want")) & (F.col("capacity") < F.col("want")))
+    t = t.join(got, (F.col("mix_id") == F.col("_m")) & (F.col("category") == F.col("_k")), "left").drop("_m", "_k")
+    for c in ("expected", "given"):
+        t = t.withColumn(c, F.coalesce(c, F.lit(0.0)))
+    t = t.withColumn("capacity", F.col("held") * F.col("cap")).withColumn("settled", F.lit(fit.settled)).withColumn("steps", F.lit(len(fit.steps)))
+    return t.withColumn("short", (F.col("given") < F.col("want")) & (F.col("capacity") < F.col("want")))
 
 
 def draw(docs: DataFrame, fit: Fit, salt: str, passes: int = 4, tolerance: float = 0.005) -> DataFrame:
     """(mix_id, doc_id, category, tokens, uses): whole uses of the documents that a mix takes at least once."""
 
-    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in pdfs:
-            t, member, named = _members(pdf, fit.names)
-            r = fit.rates(t, member, named)
-            own = member.argmax(axis=1) if fit.names else np.zeros(len(t), int)
+    arrow = pa.schema([("mix_id", pa.int32()), ("doc_id", pa.int64()), ("category", pa.string()), ("tokens", pa.int64()), ("base", pa.int32()), ("part", pa.float64())])
+    names = pa.array([*fit.names, None], pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            _, (soft, own, top) = _columns(b, fit, 2, 1, 3)
+            r = fit.rates(soft, own, top)
             for i, mix in enumerate(fit.mixes):
                 at = np.flatnonzero(r[:, i] > 0)
                 base = np.floor(r[at, i] + 1e-9)
                 part = r[at, i] - base
-                yield pd.DataFrame({"mix_id": mix, "doc_id": pdf["doc_id"].to_numpy()[at], "category": pd.Series([fit.names[k] for k in own[at]], dtype=object), "tokens": t[at].astype(np.int64), "base": base.astype(np.int32), "part": np.where(part > 1e-9, part, 0.0)})
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), mix, np.int32)), b.column(0).take(pa.array(at)), names.take(pa.array(own[at])), b.column(2).take(pa.array(at)), pa.array(base.astype(np.int32)), pa.array(np.where(part > 1e-9, part, 0.0))], schema=arrow)
 
-    rated = docs.mapInPandas(run, "mix_id int, doc_id bigint, category string, tokens bigint, base int, part double")
+    rated = docs.select("doc_id", "category", "tokens", "posterior").mapInArrow(run, "mix_id int, doc_id bigint, category string, tokens bigint, base int, part double")
     unit = F.conv(F.substring(salted_hash(F.concat_ws(":", "mix_id", "doc_id"), salt), 1, 13), 16, 10).cast("double") / float(16**13)
     rated = settle(rated.withColumn("_z", F.when(F.col("part") > 0, unit / F.col("part"))), "mix-rated")
     sure = {(r.mix_id, r.category): r.n for r in rated.groupBy("mix_id", "category").agg(F.sum(F.col("tokens") * F.col("base")).alias("n")).collect()}
-    aims = {(m, k): float(fit.got[i, j]) for i, m in enumerate(fit.mixes) for j, k in enumerate(fit.names)}
+    aims = {(m, k): min(float(fit.given[i, j]), float(fit.want[i, j])) for i, m in enumerate(fit.mixes) for j, k in enumerate(fit.names)}
     gaps = {at: aim - sure.get(at, 0) for at, aim in aims.items() if aim - sure.get(at, 0) > 0}
     rest, picked = rated.where("part > 0 and tokens > 0"), None
     for _ in range(passes):

@@ -6,33 +6,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import letters_key, plain_id
-from ..session import settle, table
+from ..session import settle, shared_root, table
 from . import encoding_repair, mixing, quota_sample, stable_sample, tokens
 
 SALT = "squallframe-1"
-MIX_LOOSE_USES = 0.0  # documents without a source count for none
 
 # Plain names of the lifecycle classes and, in order of decision, the rates that the sample's ledger gave them.
 RATE_LEDGER: tuple[tuple[str | None, float], ...] = (
     ("STEADY", 0.05), ("PLATEAU", 0.05), ("GROWTH_DECAY", 0.10), ("EPISODIC", 0.10), ("RAPID_GROWTH", 0.15), ("RAPID_DECAY", 0.20), ("QUIESCENT", 0.40),
-    (None, 0.05), ("PLATEAU", 0.08),
+    (None, 0.05), (stable_sample.OTHER, 0.05), ("PLATEAU", 0.08),
 )
-OTHER_RATE = 0.05
 
 
 def plain_class(c):
     """The plain name of a lifecycle class: by letters only; a name that is not known stays as its letters."""
     key = letters_key(c)
     out = F.upper(key)
-    for name in {n for n, _ in RATE_LEDGER if n}:
+    for name in {n for n, _ in RATE_LEDGER if n and n != stable_sample.OTHER}:
         out = F.when(key == name.replace("_", "").lower(), F.lit(name)).otherwise(out)
     return out
 
 
 def p4_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sampled events, each once in every class in which it is selected."""
+    """Sampled events, each once in every class in which it is selected. The rates lie in a ledger table of the shared folder."""
     rows = table(spark, sf_dir, "event_catalogue")
-    got = stable_sample.stable_sample(rows, plain_id(F.col("id")), plain_class(F.col("lifecycle_class")), list(RATE_LEDGER), OTHER_RATE, SALT)
+    ledger = stable_sample.keep_rates(spark, f"{shared_root(spark)}/squallframe/p4-ledger-{SALT}", list(RATE_LEDGER))
+    got = stable_sample.stable_sample(rows, plain_id(F.col("id")), plain_class(F.col("lifecycle_class")), ledger, SALT)
     return got.select(F.col("key").alias("id"), F.col("stratum").alias("lifecycle_class"), "key_hash")
 
 
@@ -75,22 +74,19 @@ def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.decode_documents(tokens.encode_documents(table(spark, sf_dir, "documents"), model), model)
 
 
-def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, mixing.Fit]:
+def _mix(spark: SparkSession, sf_dir: str, loose: float = 0.0) -> tuple[DataFrame, DataFrame, mixing.Fit]:
     documents = table(spark, sf_dir, "documents")
     model = tokens.load_model(spark)
     targets = mixing.wanted(table(spark, sf_dir, "mix_targets"))
-    sizes, profile = mixing.measure(documents, model)
     names = sorted(r.category for r in targets.where("category is not null").select("category").distinct().collect())
-    classifier = mixing.train(sizes, profile, names, tokens.codec(model.value).size)
-    stray = mixing.classify(documents.where(letters_key(F.col("source")).isNull()), model, classifier)
-    docs = sizes.where("category is not null").select("doc_id", "category", "tokens", F.lit(None).cast("array<double>").alias("posterior"))
-    docs = docs.unionByName(settle(stray, "mix-stray").select("doc_id", F.lit(None).cast("string").alias("category"), "tokens", "posterior"))
-    fit = mixing.fit_rates(docs, targets, names, MIX_LOOSE_USES)
-    return docs, mixing.shortages(sizes, targets, fit), fit
+    classifier = mixing.train(mixing.training_sample(documents, names), model, names)
+    docs = mixing.measure(documents, model, classifier)
+    fit = mixing.fit_rates(docs, targets, names, loose)
+    return docs, mixing.shortages(docs, targets, fit), fit
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Targets whose source cannot give its share."""
+    """Targets whose source cannot give its share; documents without a source count for none."""
     _, short, _ = _mix(spark, sf_dir)
     return short.where("short").select("mix_id", "source")
 
@@ -101,11 +97,20 @@ def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.draw(docs, fit, SALT).select("mix_id", "doc_id", "category", "tokens", "uses")
 
 
+def _shares(spark: SparkSession, sf_dir: str, loose: float) -> DataFrame:
+    docs, short, fit = _mix(spark, sf_dir, loose)
+    got = mixing.share_report(settle(mixing.draw(docs, fit, SALT), "mix-drawn"), short)
+    return got.select("mix_id", "source", "weight", "want", "capacity", "expected", "given", "steps", "settled", "tokens", "share", "documents", "most_uses", "short")
+
+
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The actual shares of every mix."""
-    docs, short, fit = _mix(spark, sf_dir)
-    got = mixing.share_report(settle(mixing.draw(docs, fit, SALT), "mix-drawn"), short)
-    return got.select("mix_id", "source", "weight", "want", "capacity", "tokens", "share", "documents", "most_uses", "short")
+    return _shares(spark, sf_dir, 0.0)
+
+
+def p7_loose_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares where documents without a source may be used once, as documents of their likeliest source."""
+    return _shares(spark, sf_dir, 1.0)
 
 
 def _damage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,7 +134,7 @@ _KEY = "nullif(lower(regexp_replace({}, '[^A-Za-z0-9]', '', 'g')), '')"
 
 def _p4_sql() -> str:
     rates = stable_sample.highest_rates(list(RATE_LEDGER))
-    known = {n: n.replace("_", "").lower() for n in rates if n}
+    known = {n: n.replace("_", "").lower() for n in rates if n and n != stable_sample.OTHER}
     names = " ".join(f"when '{k}' then '{n}'" for n, k in known.items())
     bound = " ".join(f"when '{n}' then '{stable_sample.threshold(rates[n])}'" for n in known)
     return f"""with k as (select {_ID} as id, {_KEY.format("lifecycle_class")} as c from event_catalogue),
@@ -137,7 +142,7 @@ n as (select distinct id, case c {names} else upper(c) end as lifecycle_class, s
       from k where id <> '')
 select id, lifecycle_class, key_hash from n
 where key_hash < case when lifecycle_class is null then '{stable_sample.threshold(rates[None])}'
-  else case lifecycle_class {bound} else '{stable_sample.threshold(OTHER_RATE)}' end end"""
+  else case lifecycle_class {bound} else '{stable_sample.threshold(rates[stable_sample.OTHER])}' end end"""
 
 
 _LATEST_SQL = f"""r as (select {_ID} as id, {_KEY.format("lifecycle_class")} as category, classified_at, batch_no from event_catalogue),
@@ -148,7 +153,7 @@ seen as (select category, count(*) as available from latest group by category),
 asked as (select t.*, {_KEY.format("t.lifecycle_class")} as category,
   greatest(cast(floor(sample_size * target_share + 0.5) as bigint), min_rows, 0) as quota from class_targets t)"""
 
-QUERIES = {"p4_sample": p4_sample, "p5_found": p5_found, "p5_report": p5_report, "p5_sample": p5_sample, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_found": p7_found, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_restored": p8_restored}
+QUERIES = {"p4_sample": p4_sample, "p5_found": p5_found, "p5_report": p5_report, "p5_sample": p5_sample, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_found": p7_found, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_loose_shares": p7_loose_shares, "p8_found": p8_found, "p8_restored": p8_restored}
 
 SQL = {
     "p4_sample": _p4_sql(),

@@ -83,5 +83,5 @@ def quota_sample(latest: DataFrame, asked: DataFrame, request: str, salt: str) -
     sample = settle(whole.unionByName(partly), "quota-sample")
     made = sample.groupBy(F.col(request).alias("_request"), "category").agg(F.count(F.lit(1)).alias("sampled"))
     report = known.join(made, (known[request] == made["_request"]) & (known["category"] == made["category"]), "left").drop(made["category"]).drop("_request")
-    report = report.withColumn("sampled", F.coalesce("sampled", F.lit(0))).withColumn("deficit", F.greatest(F.col("quota") - F.col("available"), F.lit(0)))
+    report = report.withColumn("sampled", F.coalesce("sampled", F.lit(0))).withColumn("deficit", F.greatest(F.col("quota") - F.col("sampled"), F.lit(0)))
     return sample, report

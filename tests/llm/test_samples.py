@@ -13,7 +13,7 @@ LEDGER = [("A", 0.3), ("B", 0.1), (None, 0.2), ("B", 0.05), ("A", 0.5)]
 
 def sample(spark, rows, ledger=LEDGER, parts=3):
     df = spark.createDataFrame(rows, "id string, c string, key string, stratum string, key_hash string").repartition(parts)
-    return {(r.key, r.stratum) for r in SS.stable_sample(df, plain_id(F.col("id")), F.col("c"), ledger, 0.25, "s").collect()}
+    return {(r.key, r.stratum) for r in SS.stable_sample(df, plain_id(F.col("id")), F.col("c"), [*ledger, (SS.OTHER, 0.05)], "s").collect()}
 
 
 def rows(n, c="A"):
@@ -30,9 +30,26 @@ def test_thresholds_rise_with_rates(a, b):
 
 
 def test_ledger_keeps_the_highest_rate():
-    assert SS.highest_rates(LEDGER) == {"A": 0.5, "B": 0.1, None: 0.2}
+    assert SS.highest_rates(LEDGER) == {"A": 0.5, "B": 0.1, None: 0.2, SS.OTHER: 0.0}
+    assert SS.highest_rates([*LEDGER, (SS.OTHER, 0.15), (SS.OTHER, 0.1)]) == {"A": 0.5, "B": 0.15, None: 0.2, SS.OTHER: 0.15}
 
 
+def test_no_entry_can_lose_a_member(spark):
+    before = sample(spark, rows(900, "Z"), [(SS.OTHER, 0.3)])
+    assert any(c == "Z" for _, c in before)
+    for entry in (("Z", 0.02), ("Z", 0.0), (SS.OTHER, 0.01), (None, 0.01), ("B", 0.9)):
+        assert before <= sample(spark, rows(900, "Z"), [(SS.OTHER, 0.3), entry])
+
+
+def test_the_ledger_table_only_grows(spark, tmp_path):
+    at = f"file://{tmp_path}/ledger"
+    assert dict(SS.keep_rates(spark, at, [("A", 0.3), (None, 0.1)])) == {"A": 0.3, None: 0.1}
+    assert dict(SS.keep_rates(spark, at, [("A", 0.1), ("B", 0.2)])) == {"A": 0.3, None: 0.1, "B": 0.2}
+    assert dict(SS.keep_rates(spark, at, [])) == {"A": 0.3, None: 0.1, "B": 0.2}
+    assert SS.keep_rates(spark, f"file://{tmp_path}/empty", []) == []
+    with pytest.raises(ValueError):
+        SS.keep_rates(spark, at, [("A", -0.1)])
+
 def test_same_members_for_any_partitioning_and_growth(spark):
     small = sample(spark, rows(400))
     assert small == sample(spark, rows(400), parts=1)
@@ -54,7 +71,7 @@ def test_members_stay_through_the_batches(spark, data):
     cat = spark.read.parquet(f"{data}/event_catalogue.parquet")
     before = set()
     for b in range(1, 9):
-        got = SS.stable_sample(cat.where(F.col("batch_no") <= b), plain_id(F.col("id")), Q.plain_class(F.col("lifecycle_class")), list(Q.RATE_LEDGER), Q.OTHER_RATE, Q.SALT)
+        got = SS.stable_sample(cat.where(F.col("batch_no") <= b), plain_id(F.col("id")), Q.plain_class(F.col("lifecycle_class")), list(Q.RATE_LEDGER), Q.SALT)
         now = {(r.key, r.stratum) for r in got.collect()}
         assert before <= now
         before = now
@@ -95,6 +112,12 @@ def test_empty_tables(spark):
     assert draw(spark, [("S1", "A", None, 1)], [])[0] == set()
 
 
+def test_the_deficit_is_what_the_sample_lacks(spark, monkeypatch):
+    monkeypatch.setattr(QS, "availability", lambda latest, asked: asked.withColumn("available", F.lit(30).cast("bigint")))
+    events = [(f"S{i:04d}", "A", None, 1) for i in range(20)]
+    assert draw(spark, events, [(1, "A", 40, 1.0, 0, "", "")])[1] == {(1, "A"): (40, 30, 20, 20)}
+
+
 def test_a_short_draw_is_repaired(spark, monkeypatch):
     monkeypatch.setattr(QS, "SLACK", -3.0)  # accept far too few at first
     events = [(f"S{i:04d}", "A", None, 1) for i in range(500)]
