@@ -3,7 +3,8 @@
 Each header is reduced to a fingerprint of its names; a version is a fingerprint together with the migration steps that its
 file needs: rename a column, default a field that is absent, cast a field whose values no longer fit, drop a column of no base
 field. The steps come from the values, not from a list of known names: a column carries an absent field if it holds that
-field's values of the same file and lines in a reference table. Every file is then routed through its version's chain.
+field's values of the same file and lines in a reference table. Versions are kept in a table to which new ones are appended, so
+a version keeps its number whatever files arrive later. Every file is then routed through its version's chain.
 """
 
 from __future__ import annotations
@@ -12,11 +13,12 @@ import csv
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +32,7 @@ MISSING = frozenset(("", "nan", "na", "n/a", "null", "none"))
 _INT = re.compile(r"[+-]?[0-9]+")
 _NUM = re.compile(r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?")
 _ANY = re.compile(r"[+\-−]?(?:[0-9]+(?:[.,][0-9]*)?|[.,][0-9]+)(?:\s*(?:[eE]|[x×*]\s*10\s*\^?)\s*[+\-−]?[0-9]+)?")
+_GROUPS = re.compile(r"[+-]?[0-9]{1,3}(?:([ ',_\u00a0\u202f])[0-9]{3})(?:\1[0-9]{3})*")
 _HEX = re.compile(r"[+-]?0[xX][0-9a-fA-F]+")
 _SUFFIX = re.compile(rf"(?i)({'|'.join(ID_SUFFIXES)})$")
 
@@ -226,56 +229,102 @@ def change_report(plans: DataFrame) -> DataFrame:
     return plans.select("file_id", F.explode(every).alias("c")).select("file_id", "c.*")
 
 
-def steps_json(plan: dict) -> str:
-    """A version's migration chain in the order in which it is applied."""
-    chain = [["rename", r["name"], r["field"]] for r in plan["renamed"]] + [["default", f] for f in plan["removed"]] + [["cast", f] for f in plan["retyped"]] + [["drop", n] for n in plan["added"]]
-    return json.dumps(chain)
+def _chain() -> F.Column:
+    """A plan's migration chain in the order in which it is applied, as JSON."""
+    return F.to_json(F.struct(F.sort_array("renamed").alias("rename"), F.sort_array("removed").alias("default"), F.sort_array("retyped").alias("cast"), F.sort_array("added").alias("drop")))
 
 
-def version_registry(plans: DataFrame) -> DataFrame:
-    """(print, steps, n_files, version): versions of each fingerprint, the most used first."""
-    chain = F.to_json(F.struct(F.sort_array("renamed").alias("rename"), F.sort_array("removed").alias("default"), F.sort_array("retyped").alias("cast"), F.sort_array("added").alias("drop")))
-    used = plans.groupBy("print", chain.alias("steps")).agg(F.count(F.lit(1)).alias("n_files"))
-    from pyspark.sql import Window as W
+def keep_versions(plans: DataFrame, at: str) -> DataFrame:
+    """(print, steps, version): the versions in the table at ``at``, to which those of these plans that it lacks are appended first.
+    Numbers count up from 1 for each fingerprint; new chains are numbered by their text. One writer at a time."""
+    spark = plans.sparkSession
+    schema = "print string, steps string, version int"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    known = spark.read.schema(schema).parquet(at) if there else spark.createDataFrame([], schema)
+    used = plans.select("print", _chain().alias("steps")).distinct()
+    last = known.groupBy("print").agg(F.max("version").alias("_last"))
+    number = F.row_number().over(W.partitionBy("print").orderBy("steps")) + F.coalesce("_last", F.lit(0))
+    fresh = settle(used.join(known, ["print", "steps"], "left_anti").join(last, "print", "left").select("print", "steps", number.cast("int").alias("version")), "drift-versions")
+    fresh.write.mode("append").parquet(at)
+    return spark.read.schema(schema).parquet(at)
 
-    return used.withColumn("version", F.row_number().over(W.partitionBy("print").orderBy(F.desc("n_files"), "steps")))
 
+def version_registry(plans: DataFrame, versions: DataFrame) -> DataFrame:
+    """(print, steps, version, n_files): the kept versions with the number of these files that have them."""
+    used = plans.groupBy("print", _chain().alias("steps")).agg(F.count(F.lit(1)).alias("n_files"))
+    return versions.join(used, ["print", "steps"], "left").withColumn("n_files", F.coalesce("n_files", F.lit(0)))
 
-def migrate(raw: DataFrame, plans: DataFrame, fields: tuple[tuple[str, str], ...] = SWEEP_FIELDS) -> DataFrame:
-    """(file_id, line_no, fields): every text routed through its chain. A value that does not fit its type is cast by its first
-    reading as a number, or null if it has none; absent fields are null. A file without a plan has every field renamed to
-    itself."""
+
+def migrate(raw: DataFrame, plans: DataFrame, versions: DataFrame, fields: tuple[tuple[str, str], ...] = SWEEP_FIELDS, max_broadcast: int = 100_000) -> DataFrame:
+    """(file_id, line_no, version, fields): every text routed through the chain of its version: columns renamed, absent fields
+    null, values that do not fit cast by cast_column(), other columns dropped. A file without a plan has an empty chain and a
+    null version."""
     kinds = dict(fields)
-    ddl = ", ".join(["file_id bigint", "line_no int", *(f"`{n}` {t}" for n, t in fields)])
+    ddl = ", ".join(["file_id bigint", "line_no int", "version int", *(f"`{n}` {t}" for n, t in fields)])
     schema = _arrow(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file_id, body, renamed in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for file_id, body, version, steps in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 names, rows = parse(body)
                 if not rows:
                     continue
+                chain = json.loads(steps or "{}")
                 cols: dict[str, tuple] = {}
                 for k, c in zip((n.lower() for n in names), zip(*rows)):
                     cols.setdefault(k, c)
-                for r in renamed or []:
-                    cols[r["field"].lower()] = cols[r["name"]]
-                data = [pa.array([file_id] * len(rows), pa.int64()), pa.array(range(1, len(rows) + 1), pa.int32())]
-                for n, t in fields:
-                    c = cols.get(n.lower())
-                    data.append(pa.nulls(len(rows), schema.field(n).type) if c is None else pa.array([_cast(v, kinds[n]) for v in c], schema.field(n).type))
+                for r in chain.get("rename", ()):
+                    cols[r["field"].lower()] = cols.pop(r["name"])
+                for n in (*chain.get("default", ()), *chain.get("drop", ())):
+                    cols.pop(n.lower(), None)
+                cast = set(chain.get("cast", ())) if steps else set(kinds)
+                n = len(rows)
+                data = [pa.array([file_id] * n, pa.int64()), pa.array(range(1, n + 1), pa.int32()), pa.array([version] * n, pa.int32())]
+                for f, t in fields:
+                    c = cols.get(f.lower())
+                    value = cast_column if f in cast else plain_column
+                    data.append(pa.nulls(n, schema.field(f).type) if c is None else pa.array(value(c, kinds[f]), schema.field(f).type))
                 yield pa.RecordBatch.from_arrays(data, schema=schema)
 
     left = raw.select(F.col("file_id").cast("bigint").alias("file_id"), "body")
-    return left.join(plans.select("file_id", "renamed"), "file_id", "left").select("file_id", "body", "renamed").mapInArrow(run, ddl)
+    routed = plans.select("file_id", "print", _chain().alias("steps")).join(broadcast_if_small(versions, max_broadcast), ["print", "steps"], "left")
+    return left.join(routed, "file_id", "left").select("file_id", "body", "version", "steps").mapInArrow(run, ddl)
+
+
+def _bounded(x: int, kind: str) -> int | None:
+    return x if -(1 << (31 if kind == "int" else 63)) <= x < 1 << (31 if kind == "int" else 63) else None
+
+
+def plain_column(values: Iterable[str], kind: str) -> list:
+    """Values that fit their type; missing ones and whole numbers beyond the type are null."""
+    if kind == "string":
+        return [None if missing(v) else v.strip() for v in values]
+    if kind == "double":
+        return [None if missing(v) else float(v) for v in values]
+    return [None if missing(v) else _bounded(int(v), kind) for v in values]
 
 
-def _cast(v: str, kind: str):
-    if missing(v):
-        return None
+def cast_column(values: Iterable[str], kind: str) -> list:
+    """Values of any notation. A whole number may have its digits in groups of three; else its first whole reading counts. In a
+    column of doubles a comma parts groups of three only if all of its values allow that and one has two such groups; else it
+    is the decimal sign. What has no reading is null."""
     if kind == "string":
-        return v.strip()
-    if kind in ("int", "bigint"):
-        x = int(v) if _INT.fullmatch(v.strip()) else next((int(r) for r in readings(v) if r == r and abs(r) < 1e18), None)
-        return x if x is not None and abs(x) < (1 << (31 if kind == "int" else 63)) else None
-    return next(iter(readings(v)), None)
+        return plain_column(values, kind)
+    values = list(values)
+    if kind == "double":
+        commas = [v.strip() for v in values if "," in v]
+        grouped = all(_GROUPS.fullmatch(v) for v in commas) and any(v.count(",") > 1 for v in commas)
+        return [None if missing(v) else next(iter(readings(v.replace(",", "") if grouped else v)), None) for v in values]
+    out = []
+    for v in values:
+        s = v.strip().replace("−", "-")
+        if missing(s):
+            out.append(None)
+        elif _INT.fullmatch(s):
+            out.append(_bounded(int(s), kind))
+        elif _GROUPS.fullmatch(s):
+            out.append(_bounded(int(re.sub(r"[^0-9+-]", "", s)), kind))
+        else:
+            out.append(next((x for r in readings(s) if r == int(r) and (x := _bounded(int(r), kind)) is not None), None))
+    return out
