@@ -94,6 +94,12 @@ def class_alpha(c: Column) -> Column:
     return out
 
 
+def settled(c: Column, digits: int) -> Column:
+    """Rounded half up by way of twelve decimals: means of a few short decimals are often exact ties, which the order in which
+    doubles were summed must not decide. Null beyond 26 digits before the point."""
+    return F.round(c.try_cast("decimal(38,12)"), digits).cast("double")
+
+
 def vil_physical(v: Column) -> Column:
     return F.least(F.greatest(v, F.lit(0.0)), F.lit(255.0)) / 255.0 * 70.0
 
@@ -127,6 +133,26 @@ def zscores(a: Column) -> Column:
     return F.transform(a, lambda v: (v - mean) / (F.sqrt(var) + 1e-9))
 
 
+def fixed_scaling(a: Column, most: float = 255.0) -> Column:
+    """An array over a fixed maximum."""
+    return F.transform(a, lambda v: v / most)
+
+
+def own_scaling(a: Column) -> Column:
+    """An array over its own maximum, guarded by 1e-6."""
+    return F.transform(a, lambda v: v / (F.array_max(a) + 1e-6))
+
+
+# What a solver ends with, by code.
+SOLVER_RESULTS = ("successful", "max_steps_reached", "dt_min_reached", "nonlinear_divergence")
+
+
+def solver_result(code: Column) -> Column:
+    """The name of a solver's result; other codes are unknown, with their number."""
+    names = F.array(*[F.lit(n) for n in SOLVER_RESULTS])
+    return F.when(code.between(0, len(SOLVER_RESULTS) - 1), F.get(names, code)).otherwise(F.concat(F.lit("unknown("), code.cast("string"), F.lit(")")))
+
+
 def l2_norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(F.transform(a, lambda v: v.cast("double") * v.cast("double")), F.lit(0.0), lambda s, v: s + v))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 
@@ -62,25 +63,32 @@ def watershed(height: np.ndarray, markers: np.ndarray, compactness: float = 0.0,
     """Flood from the markers in order of height, plus compactness times the distance to the marker; earlier markers win ties.
     Pixels outside the mask stay 0."""
     h, w = height.shape
-    out = np.asarray(markers, np.int32).copy()
-    if mask is not None:
-        out[~mask] = 0
-    heap, age = [], 0
-    for y, x in zip(*np.nonzero(out)):
-        heap.append((float(height[y, x]), age, int(y), int(x), int(y), int(x)))
-        age += 1
+    mark = np.pad(np.asarray(markers, np.int32) if mask is None else np.where(mask, markers, 0), 1)
+    wide = w + 2
+    blocked = np.pad(np.zeros((h, w), bool) if mask is None else ~mask, 1, constant_values=True) | (mark > 0)
+    # Plain lists over a frame with a rim: the flood takes one pixel at a time and no bounds are tested.
+    lab, closed, z = mark.ravel().tolist(), blocked.ravel().tolist(), np.pad(np.asarray(height, float), 1).ravel().tolist()
+    seeds = np.flatnonzero(mark.ravel()).tolist()
+    heap = [(z[k], age, k, k) for age, k in enumerate(seeds)]
     heapq.heapify(heap)
-    done = out > 0
-    free = np.ones((h, w), bool) if mask is None else mask
+    age, pop, push = len(heap), heapq.heappop, heapq.heappush
+    steps = (-wide, -1, 1, wide)
     while heap:
-        _, _, y, x, sy, sx = heapq.heappop(heap)
-        for ny, nx in ((y - 1, x), (y, x - 1), (y, x + 1), (y + 1, x)):
-            if 0 <= ny < h and 0 <= nx < w and not done[ny, nx] and free[ny, nx]:
-                done[ny, nx] = True
-                out[ny, nx] = out[y, x]
+        _, _, k, seed = pop(heap)
+        own = lab[k]
+        sy, sx = divmod(seed, wide)
+        for d in steps:
+            j = k + d
+            if not closed[j]:
+                closed[j] = True
+                lab[j] = own
                 age += 1
-                heapq.heappush(heap, (float(height[ny, nx]) + compactness * float(np.hypot(ny - sy, nx - sx)), age, ny, nx, sy, sx))
-    return out
+                cost = z[j]
+                if compactness:
+                    y, x = divmod(j, wide)
+                    cost += compactness * math.hypot(y - sy, x - sx)
+                push(heap, (cost, age, j, seed))
+    return np.array(lab, np.int32).reshape(h + 2, wide)[1:-1, 1:-1].copy()
 
 
 def edge_height(fused: np.ndarray, dem: np.ndarray | None = None, weight: float = 0.1) -> np.ndarray:
@@ -193,23 +201,31 @@ def track(old_ids: np.ndarray, old: np.ndarray, new: np.ndarray, flow: np.ndarra
     return out
 
 
-def hausdorff(a: np.ndarray, b: np.ndarray) -> float:
-    """Symmetric Hausdorff distance of two masks; 0 if both are empty, infinite if one is."""
-    p, q = np.argwhere(a).astype(float), np.argwhere(b).astype(float)
-    if not len(p) or not len(q):
-        return 0.0 if len(p) == len(q) else float("inf")
+def nearest_set(mask: np.ndarray) -> np.ndarray:
+    """(H, W) squared distance of every pixel to the nearest one of the mask, infinite without any: along columns by running
+    minima, then along rows over all columns."""
+    h, w = mask.shape
+    y = np.arange(h, dtype=float)[:, None]
+    above = np.maximum.accumulate(np.where(mask, y, -np.inf), 0)
+    below = np.minimum.accumulate(np.where(mask, y, np.inf)[::-1], 0)[::-1]
+    column = np.minimum(y - above, below - y) ** 2
+    across = (np.arange(w, dtype=float)[:, None] - np.arange(w)) ** 2
+    return np.stack([(across + row).min(1) for row in column])
 
-    def one(s: np.ndarray, t: np.ndarray) -> float:
-        step = max(1, int(2e6 // len(t)))
-        return max(float(np.sqrt(((s[i : i + step, None] - t[None]) ** 2).sum(2).min(1)).max()) for i in range(0, len(s), step))
 
-    return max(one(p, q), one(q, p))
+def hausdorff(a: np.ndarray, b: np.ndarray) -> float:
+    """Symmetric Hausdorff distance of two masks; 0 if both are empty, infinite if one is."""
+    a, b = np.asarray(a, bool), np.asarray(b, bool)
+    if not a.any() or not b.any():
+        return 0.0 if a.any() == b.any() else float("inf")
+    return float(np.sqrt(max(nearest_set(b)[a].max(), nearest_set(a)[b].max())))
 
 
 def edge_recall(labels: np.ndarray, frame: np.ndarray, threshold: float = 0.1) -> float:
-    """The share of strong image edges that lie on region borders; 1 if there are none."""
-    strong = R.sobel(frame) > threshold
-    return float((strong & R.thick_boundary(labels)).sum() / strong.sum()) if strong.any() else 1.0
+    """The share of a frame's strong edges that lie on the inner side of region borders; 1 if there are none. Edges are those of
+    the frame over its own maximum, so that weak frames have theirs too."""
+    strong = R.sobel(frame / (frame.max() + 1e-6)) > threshold
+    return float((strong & R.boundary(labels) & (labels != 0)).sum() / strong.sum()) if strong.any() else 1.0
 
 
 def intra_variance(labels: np.ndarray, values: np.ndarray) -> float:
@@ -220,11 +236,17 @@ def intra_variance(labels: np.ndarray, values: np.ndarray) -> float:
     return float(var.mean(0).mean()) if len(var) else 0.0
 
 
-def score_sequence(frames: np.ndarray, n: int, dem: np.ndarray | None = None, flow_align: str = "correct") -> dict:
+def sequence_flows(frames: np.ndarray) -> list[np.ndarray]:
+    """The flow into each of (T, H, W, C) frames, zero into the first: the same for every number of regions."""
+    return [np.zeros((*frames.shape[1:3], 2)), *(R.lucas_kanade(a[..., 0], b[..., 0]) for a, b in zip(frames, frames[1:]))][: len(frames)]
+
+
+def score_sequence(frames: np.ndarray, n: int, dem: np.ndarray | None = None, flow_align: str = "correct", flows: list[np.ndarray] | None = None) -> dict:
     """Segment (T, H, W, C) frames into about n regions and score them: the metrics of one sweep row. flow_align "legacy" pairs
-    frames t and t + 1 with the flow into t, "correct" with the flow between them."""
+    frames t and t + 1 with the flow into t, "correct" with the flow between them. flows: sequence_flows(), if already known."""
     seg = TemporalSegmenter(n, dem)
-    labels, flows = zip(*(seg.step(f) for f in frames))
+    flows = sequence_flows(frames) if flows is None else flows
+    labels = [seg.step(f, flow)[0] for f, flow in zip(frames, flows)]
     fae, bdv, ged, mdv = [], [], [], []
     ids, cent, _, _ = label_means(labels[0], frames[0])
     names, paths = ids.copy(), {int(i): [m] for i, m in zip(ids, label_means(labels[0], frames[0])[3])}
@@ -376,15 +398,21 @@ def boundary_score(cell: np.ndarray, region: np.ndarray, mask: np.ndarray, toler
     return float(p), float(r), float(2 * p * r / (p + r + 1e-8))
 
 
+# Weights of the levels in scheme F.
+FIXED_WEIGHTS = {"low": 0.20, "med": 0.30, "high": 0.50}
+
+
 def level_weights(cells: dict[str, np.ndarray], grad: np.ndarray) -> dict[str, dict[str, float]]:
-    """Weights of the active levels by mean border gradient (G), border pixels (P) and cells (F); each scheme sums to one."""
-    active = [k for k, c in cells.items() if c.max() > 0]
-    raw = {k: (float(grad[R.boundary(cells[k], True)].mean()) if R.boundary(cells[k], True).any() else 0.0, float(R.boundary(cells[k], True).sum()), float(cells[k].max())) for k in active}
-    out = {}
-    for i, scheme in enumerate("GPF"):
-        total = sum(raw[k][i] for k in active)
-        out[scheme] = {k: raw[k][i] / total if total else 1 / len(active) for k in active}
-    return out
+    """Weights of the active levels by mean border gradient (G), by the inverse of the number of border pixels (P) and by fixed
+    shares (F); each scheme sums to one, and is even where it has nothing to go by."""
+    borders = {k: R.boundary(c, True) for k, c in cells.items() if c.max() > 0}
+    raw = {
+        "G": {k: float(grad[b].mean()) if b.any() else 0.0 for k, b in borders.items()},
+        "P": {k: 1 / (float(b.sum()) + 1e-8) for k, b in borders.items()},
+        "F": {k: FIXED_WEIGHTS[k] for k in borders},
+    }
+    total = {scheme: sum(w.values()) for scheme, w in raw.items()}
+    return {scheme: {k: v / total[scheme] if total[scheme] else 1 / len(borders) for k, v in w.items()} for scheme, w in raw.items()}
 
 
 def evaluate(vil: np.ndarray, regions: np.ndarray, sigma: float = 1.0, n_max: int = 2000, tolerance: int = 0, margin: int = 5) -> dict:

@@ -60,7 +60,7 @@ def _explicit(f: Rhs, h: State, dt: float, a, e) -> tuple[State, State]:
 
 
 def _implicit(f: Rhs, jac: Callable[[State], np.ndarray], h: State, dt: float) -> tuple[State, State] | None:
-    """One step with a block Jacobian (n, d, d), factorised once; None if the Newton iteration fails."""
+    """One step with a Jacobian (d, d) for each of n nodes, factorised once; None if the Newton iteration fails."""
     n, d = h.shape
     m = np.eye(d) - dt * SDIRK_G * jac(h)
     k: list[State] = []
@@ -151,7 +151,7 @@ def make_weights(scale: float, seed: int, state: int = 3, env: int = 4, hidden:
 
 
 def reaction(env: np.ndarray, w: dict[str, np.ndarray]) -> tuple[Rhs, Callable[[State], np.ndarray]]:
-    """(rhs, block Jacobian): rate(e) * (s g(e) + (1 - s) r(e) - h), where only the gate s depends on the state; the targets g, r lie
+    """(rhs, Jacobian of each node): rate(e) * (s g(e) + (1 - s) r(e) - h), where only the gate s depends on the state; the targets g, r lie
     in (0, 1) and the rate is positive, so the pull is bounded."""
     head = lambda name: _silu(env @ w[f"{name}1"]) @ w[f"{name}2"]
     grow, decay, rate = _sigmoid(head("grow")), _sigmoid(head("decay")), softplus(head("rate") - RATE_SHIFT)
@@ -176,12 +176,12 @@ def gate_ceiling(w: dict[str, np.ndarray], d: int) -> float:
 
 
 def spectral_norm(jac: np.ndarray) -> float:
-    """Median over the nodes of the 2-norm of their Jacobian blocks."""
+    """Median over the nodes of the 2-norm of their Jacobians."""
     return float(np.median(np.linalg.norm(jac, 2, axis=(1, 2)))) if len(jac) else 0.0
 
 
 def dominant_real(jac: np.ndarray) -> float:
-    """The largest real part of any block's eigenvalues: above zero means locally unstable."""
+    """The largest real part of the eigenvalues of any node's Jacobian: above zero means locally unstable."""
     return float(np.linalg.eigvals(jac).real.max()) if len(jac) else 0.0
 
 
@@ -287,15 +287,19 @@ def calibrate_scale(env: np.ndarray, h: State, target: float, seed: int = 0, rou
     return (lo * hi) ** 0.5
 
 
-def calibrate_tolerance(h0: State, explicit: Rhs, implicit: Rhs, jac, start: float = 1e-2, least: float = 1e-8, accept: float = 1e-3, **kw) -> float:
-    """The first tolerance, halving from the start, at which halving again changes the solution by less than accept."""
-    tol, last = start, strang(h0, explicit, implicit, jac, rtol=start, atol=start / 10, **kw)[0]
-    while tol > least:
-        new = strang(h0, explicit, implicit, jac, rtol=tol / 2, atol=tol / 20, **kw)[0]
-        if np.linalg.norm(new - last) <= accept * (np.linalg.norm(new) + 1e-12):
-            return tol
-        tol, last = tol / 2, new
-    return tol
+def calibrate_tolerance(h0: State, explicit: Rhs, implicit: Rhs, jac, start: float = 1e-2, least: float = 1e-8, accept: float = 1e-3, **kw) -> tuple[float, bool]:
+    """(tolerance, found): the first tolerance, halving from the start, at which halving again changes the solution by less than
+    accept. A run that does not converge ends the search, since a smaller tolerance cannot be trusted either; the last one that
+    did converge is given then, and the start if none did."""
+    good, last, tol = start, None, start
+    while tol >= least:
+        h, row = strang(h0, explicit, implicit, jac, rtol=tol, atol=tol / 10, **kw)
+        if not row["imex_converged"]:
+            return good, False
+        if last is not None and np.linalg.norm(h - last) < accept * (np.linalg.norm(last) + 1e-12):
+            return good, True
+        good, last, tol = tol, h, tol / 2
+    return good, False
 
 
 def verdict(tr: Trace, dt0: float) -> str:

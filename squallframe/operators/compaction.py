@@ -11,8 +11,8 @@ Plan of the operator (every step is distributed; the driver only sees counts):
 4. Lines and markers are shuffled once, by item, joined with their group there and sorted inside the partition. Each
    group is then streamed through pyarrow into one file; memory is bounded by one row group.
 5. Each attempt writes under its own name; only the files reported by successful tasks enter the manifest. The manifest is
-   verified (line counts, and an order-free checksum of all records read back from the files) and then published by one
-   atomic rename.
+   verified (line counts, an order-free checksum of all records read back from the files, and that these are all different)
+   and then published by one atomic rename.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ from ..session import settle, work_dir
 TARGET_BYTES = 128 << 20
 #: Lines of one file that form one schedulable item.
 CHUNK_LINES = 250_000
+#: A record with more than this part of all lines, and at least so many, is hot.
+HOT, HOT_LEAST = 10_000, 1_000
 #: At most about so many items are scheduled by one task.
 SHARD_ITEMS = 100_000
 #: And at most so many output groups are written by one task.
@@ -78,16 +80,21 @@ def record_keys(names: list[str]) -> list[Column]:
     return [F.xxhash64(F.lit(17), mask, *cols).alias("_k1"), F.xxhash64(*cols, mask, F.lit(71)).alias("_k2")]
 
 
-def redundant_lines(keyed: DataFrame) -> DataFrame:
-    """(file_id, line_no, _k1) of lines whose record stands in an earlier line, order being (file_id, line_no)."""
+def redundant_lines(keyed: DataFrame, total: int) -> DataFrame:
+    """(file_id, line_no, _k1) of lines whose record stands in an earlier line, order being (file_id, line_no). total: the number
+    of lines. Records with more than a HOT-th of them are fewer than HOT, so their first lines are broadcast; no other record
+    brings more than that share to one task."""
     slim = keyed.select("_k1", "_k2", "file_id", "line_no")
-    first = (
-        slim.groupBy("_k1", "_k2")
-        .agg(F.min(F.struct("file_id", "line_no")).alias("_first"), F.count(F.lit(1)).alias("_n"))
-        .where("_n > 1")
-        .select("_k1", "_k2", "_first")
-    )
-    return slim.join(first, ["_k1", "_k2"]).where(F.struct("file_id", "line_no") > F.col("_first")).select("file_id", "line_no", "_k1")
+    first = settle(slim.groupBy("_k1", "_k2").agg(F.min(F.struct("file_id", "line_no")).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1"), "compact-first")
+    hot = first.where(F.col("_n") > max(total // HOT, HOT_LEAST)).drop("_n")
+    later = F.struct("file_id", "line_no") > F.col("_first")
+    if hot.isEmpty():
+        got = slim.join(first.drop("_n"), ["_k1", "_k2"])
+    else:
+        got = slim.join(F.broadcast(hot), ["_k1", "_k2"])
+        rest = slim.join(F.broadcast(hot.drop("_first")), ["_k1", "_k2"], "left_anti")
+        got = got.unionByName(rest.join(first.where(F.col("_n") <= max(total // HOT, HOT_LEAST)).drop("_n"), ["_k1", "_k2"]))
+    return got.where(later).select("file_id", "line_no", "_k1")
 
 
 _REPORT = "kind string, grp int, path string, n_rows bigint, n_bytes bigint, checksum bigint, file_id bigint, line_no int"
@@ -213,7 +220,7 @@ def compact(
     shard = F.pmod(F.hash("file_id", "_chunk"), F.lit(shards))  # as repartition() places rows by these columns
     planned = items.withColumn("_shard", shard).groupBy("_shard").applyInPandas(plan, "file_id bigint, _chunk int, _group int")
 
-    marks = redundant_lines(keyed)
+    marks = redundant_lines(keyed, int(all_rows))
     none = [F.lit(None).cast(t).alias(n) for n, t in (*fields, ("loaded_at", "timestamp"))]
     lined = keyed.select("file_id", "line_no", chunk, F.lit(1).alias("_kind"), "_k1", *names, "loaded_at")
     both = lined.unionByName(marks.select("file_id", "line_no", chunk, F.lit(0).alias("_kind"), "_k1", *none))
@@ -233,9 +240,12 @@ def compact(
     if head["rows"] + held != all_rows:
         raise RuntimeError(f"compaction lost or doubled lines: {head['rows']} written and {held} redundant of {all_rows}")
     if made:
-        again = _read_files(spark, out, report).select(*record_keys(names)).agg(F.count(F.lit(1)), F.sum(F.col("_k1").cast("decimal(38,0)"))).first()
-        if again[0] != head["rows"] or int(again[1]) % (1 << 64) != head["checksum"]:
+        again = _read_files(spark, out, report).select(*record_keys(names)).groupBy("_k1", "_k2").agg(F.count(F.lit(1)).alias("n"))
+        n, different, checksum = again.agg(F.sum("n"), F.count(F.lit(1)), F.sum(F.col("_k1").cast("decimal(38,0)") * F.col("n"))).first()
+        if n != head["rows"] or int(checksum) % (1 << 64) != head["checksum"]:
             raise RuntimeError("the written files do not hold the records that were streamed into them")
+        if different != n:
+            raise RuntimeError(f"{n - different} records were written more than once")
     _publish(out, head)
     return report.where("kind = 'held'").select("file_id", "line_no"), head
 

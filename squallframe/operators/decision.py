@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from .relational import one_row
-from .stats import WHOLE, first_argmax
+from .stats import WHOLE, first_argmax, percentiles
 
 ALPHA, LFS_TOL, BATCH, BUDGET_MB = 1.5, 0.10, 32, 4000.0
 
@@ -63,11 +63,6 @@ def joint_scores(agg: DataFrame, by: list[str], n: str, isv: str, lfs: str, alph
     return agg.withColumn("quality", q).withColumn("stiffness", s).withColumn("joint", F.col("quality") - alpha * F.col("stiffness"))
 
 
-def _settled(c: Column, digits: int) -> Column:
-    """Rounded, with a nudge: means of a few short decimals are often exact ties, which the order of summation must not decide."""
-    return F.round(c + 3.1 * 10.0 ** -(digits + 2), digits)
-
-
 def recommend(agg: DataFrame, alpha: float = ALPHA, tol: float = LFS_TOL, batch: int = BATCH, budget: float = BUDGET_MB) -> DataFrame:
     """The recommended N of each class. agg: sweep_aggregate() by class and N; classes with fewer than three N are left out.
 
@@ -91,9 +86,9 @@ def recommend(agg: DataFrame, alpha: float = ALPHA, tol: float = LFS_TOL, batch:
     e = X.super_edges(F.col("r.N"))
     return out.select(
         "lifecycle_class", "n_events", "isv_elbow_N", "fae_elbow_N", "mdv_elbow_N", "tbr_elbow_N", "br_elbow_N", "lfs_ceiling_N", "vram_ceiling_N", "joint_optimal_N", "majority_vote_N",
-        F.col("r.N").alias("recommended_N"), "binding_constraint", _settled(F.col("r.ISV_mean"), 6).alias("isv_at_rec"), _settled(F.col("r.LFS_mean"), 6).alias("lfs_at_rec"), _settled(F.col("r.quality"), 4).alias("quality_at_rec"),
-        _settled(F.col("r.stiffness"), 4).alias("stiffness_at_rec"), _settled(F.col("r.joint"), 4).alias("joint_score_at_rec"), e.alias("e_super_at_rec"), _settled(X.edge_memory_mb(e, batch), 1).alias("vram_at_rec_mb"),
-        _settled(F.col("r.ISV_rel_ci_pct"), 1).alias("isv_ci_pct_at_rec"), "vote_breakdown",
+        F.col("r.N").alias("recommended_N"), "binding_constraint", X.settled(F.col("r.ISV_mean"), 6).alias("isv_at_rec"), X.settled(F.col("r.LFS_mean"), 6).alias("lfs_at_rec"), X.settled(F.col("r.quality"), 4).alias("quality_at_rec"),
+        X.settled(F.col("r.stiffness"), 4).alias("stiffness_at_rec"), X.settled(F.col("r.joint"), 4).alias("joint_score_at_rec"), e.alias("e_super_at_rec"), X.settled(X.edge_memory_mb(e, batch), 1).alias("vram_at_rec_mb"),
+        X.settled(F.col("r.ISV_rel_ci_pct"), 1).alias("isv_ci_pct_at_rec"), "vote_breakdown",
     )
 
 
@@ -128,11 +123,19 @@ def gated_joint(sweep: DataFrame, by: list[str], class_column: str | None) -> Da
     return g.select(*sweep.columns, (F.col("_q") - alpha * X.sigmoid(F.col("_s"), 5.0, 0.60) - 0.10 * F.col("_q") * F.col("_s")).alias("J_gated"))
 
 
+def with_joint(sweep: DataFrame, by: list[str], class_column: str | None) -> DataFrame:
+    """sweep with J_imex: its own where it has one, else the gated joint score, null for groups that have none. by and N tell the
+    rows apart."""
+    own = F.col("J_imex") if "J_imex" in sweep.columns else F.lit(None).cast("double")
+    base = sweep.withColumn("_own", own).drop("J_imex")
+    got = gated_joint(base, by, class_column).select(*by, "N", "J_gated")
+    return base.join(got, [*by, "N"], "left").withColumn("J_imex", F.coalesce("_own", "J_gated")).drop("_own", "J_gated")
+
+
 def thresholds(stats: DataFrame, slope: str = "slope", mass: str = "mean_mass") -> DataFrame:
     """One row of exact, linearly interpolated percentiles that the classes are told apart by."""
-    p = lambda c, q: F.percentile(c, F.lit(q))
-    s, m = F.col(slope), F.col(mass)
-    return stats.agg(p(s, 0.85).alias("growth"), p(s, 0.15).alias("decay"), p(F.abs(s), 0.25).alias("stable"), p(m, 0.75).alias("high_mass"), p(m, 0.10).alias("noise_mass"))
+    v, m = F.col(slope), F.col(mass)
+    return percentiles(stats, [], {"growth": (v, 0.85), "decay": (v, 0.15), "stable": (F.abs(v), 0.25), "high_mass": (m, 0.75), "noise_mass": (m, 0.10)})
 
 
 def phases(series: DataFrame, by: list[str], t: str, y: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import settle
 from .relational import both_ways
 
 
@@ -48,12 +49,52 @@ def radius_graph(nodes: DataFrame, by: list[str], node: str, radius: float) -> D
 
 
 def nearest(nodes: DataFrame, by: list[str], node: str, k: int) -> DataFrame:
-    """(by, src, dst, d, rank): the k nearest other nodes of each node within its group, lower name first on a tie. Meant for
-    groups of bounded size, the regions of one frame."""
-    a = nodes.select(*by, F.col(node).alias("src"), F.col("cy").alias("ay"), F.col("cx").alias("ax"))
-    b = nodes.select(*by, F.col(node).alias("dst"), F.col("cy").alias("by_"), F.col("cx").alias("bx_"))
-    p = a.join(b, by).where("src <> dst").withColumn("d", F.hypot(F.col("ay") - F.col("by_"), F.col("ax") - F.col("bx_")))
-    return p.withColumn("rank", F.row_number().over(W.partitionBy(*by, "src").orderBy("d", "dst"))).where(F.col("rank") <= k).select(*by, "src", "dst", "d", "rank")
+    """(by, src, dst, d, rank): the k nearest other nodes of each node within its group, lower name first on a tie. Nodes are
+    binned by cells that hold about k of them on the average, and each is compared with its own cell and the eight around it;
+    it is done if its k-th distance lies within a cell's width or these cells hold its whole group. The others try again with
+    cells twice as wide."""
+    span = F.greatest(F.max("cy") - F.min("cy"), F.max("cx") - F.min("cx"))
+    width = F.greatest(span / F.greatest(F.sqrt(F.count(F.lit(1)) / F.lit(float(max(1, k)))), F.lit(1.0)), F.lit(1e-9))
+    groups = nodes.groupBy(*by).agg(F.min("cy").alias("_y0"), F.min("cx").alias("_x0"), span.alias("_span"), width.alias("_width"))
+    base = settle(nodes.select(*by, F.col(node).alias("_id"), "cy", "cx").join(groups, by), "nearest")
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    left, done, scale = base, None, 1.0
+    while not left.isEmpty():
+        size = F.col("_width") * scale
+        row, column = F.floor((F.col("cy") - F.col("_y0")) / size), F.floor((F.col("cx") - F.col("_x0")) / size)
+        a = left.select(*by, F.col("_id").alias("src"), F.col("cy").alias("ay"), F.col("cx").alias("ax"), size.alias("_size"), F.col("_span"), row.alias("_r0"), column.alias("_c0")).withColumn("m", around)
+        a = a.withColumn("_r", F.col("_r0") + F.col("m.i")).withColumn("_c", F.col("_c0") + F.col("m.j")).drop("m", "_r0", "_c0")
+        b = base.select(*by, F.col("_id").alias("dst"), F.col("cy").alias("by_"), F.col("cx").alias("bx_"), row.alias("_r"), column.alias("_c"))
+        p = a.join(b, [*by, "_r", "_c"]).where("src <> dst").withColumn("d", F.hypot(F.col("ay") - F.col("by_"), F.col("ax") - F.col("bx_")))
+        p = p.withColumn("rank", F.row_number().over(W.partitionBy(*by, "src").orderBy("d", "dst"))).where(F.col("rank") <= k)
+        p = settle(p.select(*by, "src", "dst", "d", "rank", ((F.col("rank") == k) & (F.col("d") <= F.col("_size"))).alias("_near")), "nearest-some")
+        good = left.where(F.col("_span") <= size).select(*by, F.col("_id").alias("src")).unionByName(p.where("_near").select(*by, "src")).distinct()
+        found = p.join(good, [*by, "src"]).select(*by, "src", "dst", "d", "rank")
+        done = found if done is None else done.unionByName(found)
+        left = settle(left.join(good.withColumnRenamed("src", "_id"), [*by, "_id"], "left_anti"), "nearest-left")
+        scale *= 2
+    if done is None:
+        return base.select(*by, F.col("_id").alias("src"), F.col("_id").alias("dst"), F.col("cy").alias("d"), F.lit(1).alias("rank")).limit(0)
+    return done
+
+
+def connected_graph(nodes: DataFrame, by: list[str], node: str, radius: float, k: int) -> DataFrame:
+    """(by, src, dst, d): radius_graph(), and for groups in which it has no edge the k nearest nodes, each pair once."""
+    near = settle(radius_graph(nodes, by, node, radius), "radius-graph")
+    bare = nodes.join(near.select(*by).distinct(), by, "left_anti")
+    more = nearest(bare, by, node, k).select(*by, F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "d").distinct()
+    return near.unionByName(more)
+
+
+def union_over_frames(edges: DataFrame, by: list[str], frame: str) -> DataFrame:
+    """(by, src, dst, n_frames): undirected edges that any frame has, each once, with the number of frames that have it."""
+    e = edges.select(*by, frame, F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+    return e.groupBy(*by, "src", "dst").agg(F.countDistinct(frame).alias("n_frames"))
+
+
+def superset_graph(nodes: DataFrame, by: list[str], node: str, frame: str, radius: float) -> DataFrame:
+    """(by, src, dst, n_frames): pairs of nodes that come nearer than the radius in any frame."""
+    return union_over_frames(radius_graph(nodes, [*by, frame], node, radius), by, frame)
 
 
 def feature_distance(edges: DataFrame, nodes: DataFrame, by: list[str], node: str, features: list[str]) -> DataFrame:

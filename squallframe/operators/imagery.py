@@ -3,14 +3,18 @@ count), never a frame of a sequence, since regions depend on the frames before."
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import expressions as X
 from ..kernels import model, raster, segment, solver
+from .decision import with_joint
 
-SWEEP_OUT = "event_id string, N int, actual_N int, FAE double, BDV double, GED double, MDV double, LFS double, intra_sp_var_mean double, intra_sp_var_std double, boundary_recall_mean double, temporal_br_std double"
+SWEEP_OUT = "event_id string, N int, actual_N int, FAE double, BDV double, GED double, MDV double, LFS double, intra_sp_var_mean double, intra_sp_var_std double, boundary_recall_mean double, temporal_br_std double, runtime_s double, _pixels int"
 
 
 def synthetic_frames(events: DataFrame, side: int = 32, frames: int = 6) -> DataFrame:
@@ -49,18 +53,41 @@ def stack(pdf: pd.DataFrame, channels: tuple[str, ...] = ("vil", "ir107", "ir069
     return out
 
 
-def sweep_regions(frames: DataFrame, counts: list[int], flow_align: str = "correct") -> DataFrame:
-    """The sweep table: every event segmented into each number of regions and scored. Events and counts run in parallel; each task
-    holds the frames of one event. An event without the radar channel gives no rows."""
-    grid = frames.withColumn("N", F.explode(F.array(*[F.lit(n) for n in counts])))
+def pending_counts(frames: DataFrame, counts: list[int], done: DataFrame | None) -> DataFrame:
+    """frames with ``_n``, the numbers of regions that each event still needs: all, or those that ``done`` (event_id, N) lacks.
+    Finished events lose their frames before the shuffle."""
+    every = F.array(*[F.lit(int(n)) for n in counts])
+    if done is None:
+        return frames.withColumn("_n", every)
+    made = done.groupBy("event_id").agg(F.collect_set("N").alias("_made"))  # at most as many as there are counts
+    left = frames.join(made, "event_id", "left").withColumn("_n", F.array_except(every, F.coalesce("_made", F.array().cast("array<int>"))))
+    return left.where(F.size("_n") > 0).drop("_made")
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        cube = stack(pdf)
-        if cube is None or not len(cube):
-            return pd.DataFrame(columns=[c.split()[0] for c in SWEEP_OUT.split(", ")])
-        return pd.DataFrame([{"event_id": key[0]} | segment.score_sequence(cube, int(key[1]), flow_align=flow_align)])
 
-    return grid.groupBy("event_id", "N").applyInPandas(run, SWEEP_OUT)
+def sweep_regions(frames: DataFrame, counts: list[int], flow_align: str = "correct", done: DataFrame | None = None, classes: DataFrame | None = None) -> DataFrame:
+    """The sweep table: every event segmented into each number of regions and scored. Events run in parallel; a task stacks the
+    frames of one event and takes their flows once, for all numbers. An event without the radar channel gives no rows. done:
+    finished (event_id, N), which are left out; classes: event_id, lifecycle_class. J_imex is null for fewer than three numbers."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        cube, rows = stack(pdf), []
+        if cube is not None and len(cube):
+            began = time.perf_counter()
+            flows = segment.sequence_flows(cube)
+            shared = (time.perf_counter() - began) / len(pdf["_n"].iloc[0])
+            for n in pdf["_n"].iloc[0]:
+                began = time.perf_counter()
+                row = segment.score_sequence(cube, int(n), flow_align=flow_align, flows=flows)
+                rows.append({"event_id": key[0]} | row | {"N": int(n), "runtime_s": time.perf_counter() - began + shared, "_pixels": cube.shape[1] * cube.shape[2]})
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in SWEEP_OUT.split(", ")])
+
+    got = pending_counts(frames, counts, done).groupBy("event_id").applyInPandas(run, SWEEP_OUT)
+    edges = X.super_edges(F.col("actual_N"))
+    got = got.withColumn("E_super_est", edges).withColumn("VRAM_est_MB", X.edge_memory_mb(edges)).withColumn("avg_sp_area", F.col("_pixels") / F.col("actual_N")).drop("_pixels")
+    kind = None if classes is None else "lifecycle_class"
+    if classes is not None:
+        got = got.join(classes, "event_id", "left")
+    return with_joint(got, ["event_id"], kind) if len(counts) >= 3 else got.withColumn("J_imex", F.lit(None).cast("double"))
 
 
 def frame_components(frames: DataFrame, channel: str = "vil", noise: float = 20.0) -> DataFrame:
@@ -78,6 +105,20 @@ def frame_components(frames: DataFrame, channel: str = "vil", noise: float = 20.
     return frames.where(F.col("channel") == channel).select("event_id", "t", "h", "w", "data").mapInPandas(run, "event_id string, t int, n_cells int, max_area int, active double, mass double")
 
 
+def lightning_channel(frames: DataFrame, most: float, sigma: float) -> DataFrame:
+    """(event_id, t, total, most) of frames of flash counts, clipped and smoothed, row by row."""
+
+    def run(pdfs):
+        for pdf in pdfs:
+            rows = []
+            for e, t, h, w, d in zip(pdf["event_id"], pdf["t"], pdf["h"], pdf["w"], pdf["data"]):
+                a = raster.gaussian(np.clip(np.asarray(d, float).reshape(h, w), 0, most), sigma)
+                rows.append((e, t, float(a.sum()), float(a.max())))
+            yield pd.DataFrame(rows, columns=["event_id", "t", "total", "most"])
+
+    return frames.select("event_id", "t", "h", "w", "data").mapInPandas(run, "event_id string, t int, total double, most double")
+
+
 def segment_events(frames: DataFrame, n: int, method: str = "temporal") -> DataFrame:
     """(event_id, t, label array<int>, h, w): the label maps of each event's frames by the temporal or the adaptive segmenter."""
 
@@ -138,24 +179,60 @@ SOLVER_OUT = (
 )
 
 
-def solver_benchmark(frames: DataFrame, counts: list[int], seeds: list[int], sigma: float = 1.0, steps: int = 3) -> DataFrame:
-    """Split against unsplit solver for each event, number of regions and seed."""
-    grid = frames.withColumn("N", F.explode(F.array(*[F.lit(n) for n in counts]))).withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
-    names = [c.split()[0] for c in SOLVER_OUT.split(", ")]
+def _problem(cube: np.ndarray, n: int) -> tuple[dict, float, dict]:
+    """(graph, D, the columns that describe it) of an event's first frame."""
+    g = region_graph(cube, n)
+    topo, weighted = (solver.lambda_max(g["n"], g["src"], g["dst"], w) for w in (np.ones(len(g["src"])), g["w"]))
+    k = float(np.bincount(g["dst"], g["w"], g["n"]).max()) if len(g["src"]) else 1.0
+    d = solver.calibrate_diffusion(solver.stability_radius(), k)
+    return g, d, {"N": n, "N_actual": g["n"], "E": len(g["src"]), "D": d, "lambda_max_topo": topo, "lambda_max_weighted": weighted}
+
+
+def _solver_rows(frames: DataFrame, counts: list[int], seeds: list[int], sigma: float, done: DataFrame | None, ddl: str, row_of) -> DataFrame:
+    """A row of row_of(graph, D, seed) for each event, number of regions and seed: an event's frames are stacked once and its graph
+    is made once for each number. done: finished (event_id, N), which are left out."""
+    names = [c.split()[0] for c in ddl.split(", ")]
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        cube = stack(pdf)
-        if cube is None:
-            return pd.DataFrame(columns=names)
-        g = region_graph(cube, int(key[1]))
-        topo, weighted = (solver.lambda_max(g["n"], g["src"], g["dst"], w) for w in (np.ones(len(g["src"])), g["w"]))
-        k = float(np.bincount(g["dst"], g["w"], g["n"]).max()) if len(g["src"]) else 1.0
-        d = solver.calibrate_diffusion(solver.stability_radius(), k)
-        rhs, jac = solver.reaction(g["env"], solver.make_weights(sigma, int(key[2]), 3, g["env"].shape[1]))
-        row = solver.compare(g["h"], solver.diffusion(g["src"], g["dst"], g["w"], g["n"], d), rhs, jac, steps=steps)
-        return pd.DataFrame([{"event_id": key[0], "N": int(key[1]), "N_actual": g["n"], "E": len(g["src"]), "seed": int(key[2]), "D": d, "sigma_init": sigma, "spectral_radius": solver.spectral_norm(jac(g["h"])), "lambda_max_topo": topo, "lambda_max_weighted": weighted} | row], columns=names)
-
-    return grid.groupBy("event_id", "N", "seed").applyInPandas(run, SOLVER_OUT)
+        cube, rows = stack(pdf), []
+        for n in pdf["_n"].iloc[0] if cube is not None else ():
+            g, d, about = _problem(cube, int(n))
+            for seed in seeds:
+                rhs, jac = solver.reaction(g["env"], solver.make_weights(sigma, int(seed), 3, g["env"].shape[1]))
+                explicit = solver.diffusion(g["src"], g["dst"], g["w"], g["n"], d)
+                rows.append({"event_id": key[0], "seed": int(seed), "sigma_init": sigma, "spectral_radius": solver.spectral_norm(jac(g["h"]))} | about | row_of(g["h"], explicit, rhs, jac))
+        return pd.DataFrame(rows, columns=names)
+
+    return pending_counts(frames, counts, done).groupBy("event_id").applyInPandas(run, ddl)
+
+
+def solver_benchmark(frames: DataFrame, counts: list[int], seeds: list[int], sigma: float = 1.0, steps: int = 3, done: DataFrame | None = None) -> DataFrame:
+    """Split against unsplit solver for each event, number of regions and seed."""
+    return _solver_rows(frames, counts, seeds, sigma, done, SOLVER_OUT, lambda h, explicit, rhs, jac: solver.compare(h, explicit, rhs, jac, steps=steps))
+
+
+ACCURACY_OUT = (
+    "event_id string, N int, N_actual int, E int, seed int, D double, sigma_init double, spectral_radius double, lambda_max_topo double, lambda_max_weighted double, nfe_ref int, nfe_train int, "
+    "nfe_ratio_train_over_ref double, ref_converged boolean, train_converged boolean, eps_int double"
+)
+
+
+def accuracy_rows(frames: DataFrame, counts: list[int], seeds: list[int], sigma: float = 1.0, steps: int = 3, done: DataFrame | None = None) -> DataFrame:
+    """The split solver at a loose tolerance against itself at a tight one, for each event, number of regions and seed."""
+    return _solver_rows(frames, counts, seeds, sigma, done, ACCURACY_OUT, lambda h, explicit, rhs, jac: solver.accuracy(h, explicit, rhs, jac, steps=steps))
+
+
+TRIAGE_OUT = "event_id string, N int, N_actual int, E int, seed int, D double, sigma_init double, spectral_radius double, lambda_max_topo double, lambda_max_weighted double, dominant_real double, converged boolean, accepted int, rejected int, verdict string"
+
+
+def triage_rows(frames: DataFrame, counts: list[int], seeds: list[int], sigma: float = 1.0, dt: float = 300.0) -> DataFrame:
+    """One unsplit step of each event with its trace, and why it went badly if it did: divergence, stiffness or unclear."""
+
+    def row_of(h, explicit, rhs, jac):
+        _, tr = solver.unsplit(h, explicit, rhs, dt=dt, steps=1)
+        return {"dominant_real": solver.dominant_real(jac(h)), "converged": tr.converged, "accepted": tr.accepted, "rejected": tr.rejected, "verdict": solver.verdict(tr, dt / 10)}
+
+    return _solver_rows(frames, counts, seeds, sigma, None, TRIAGE_OUT, row_of)
 
 
 def forecast_events(frames: DataFrame, n: int, lead: float, seed: int = 0) -> DataFrame:

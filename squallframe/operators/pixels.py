@@ -141,15 +141,15 @@ def boundary_jaccard(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
     return j.groupBy(*by).agg(F.when(some == 0, 1.0).otherwise(both / some).alias("bji"))
 
 
-def boundary_f1(px: DataFrame, by: list[str], cell_edge: str, slic_edge: str, cell: str, tolerance: int = 0, margin: int = 5) -> DataFrame:
+def boundary_f1(px: DataFrame, by: list[str], cell_edge: str, region_edge: str, cell: str, tolerance: int = 0, margin: int = 5) -> DataFrame:
     """(by, precision, recall, f1): boundary match with a tolerance; precision counts only region boundaries within the margin of a
     cell in its denominator."""
     if margin <= tolerance:
         raise ValueError("the margin must exceed the tolerance")
-    p = dilate(dilate(dilate(px, by, cell_edge, tolerance, "_near_cell"), by, slic_edge, tolerance, "_near_slic"), by, cell, margin, "_roi")
+    p = dilate(dilate(dilate(px, by, cell_edge, tolerance, "_near_cell"), by, region_edge, tolerance, "_near_region"), by, cell, margin, "_roi")
     n = lambda c: F.sum(c.cast("double"))
-    s, c = F.col(slic_edge), F.col(cell_edge)
-    g = p.groupBy(*by).agg((n(s & F.col("_near_cell")) / (n(s & F.col("_roi")) + 1e-8)).alias("precision"), (n(c & F.col("_near_slic")) / (n(c) + 1e-8)).alias("recall"))
+    s, c = F.col(region_edge), F.col(cell_edge)
+    g = p.groupBy(*by).agg((n(s & F.col("_near_cell")) / (n(s & F.col("_roi")) + 1e-8)).alias("precision"), (n(c & F.col("_near_region")) / (n(c) + 1e-8)).alias("recall"))
     return g.withColumn("f1", 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall") + 1e-8))
 
 
@@ -161,7 +161,7 @@ def match_classes(px: DataFrame, ref: str, found: str, near_ref: str, near_found
 
 
 def coarsen(px: DataFrame, by: list[str], value: str, size: int, how: str = "mean") -> DataFrame:
-    """(by, y, x, value): blocks of size x size as their mean, or as the most frequent value (the smallest on a tie)."""
+    """(by, y, x, value): squares of size x size as their mean, or as the most frequent value (the smallest on a tie)."""
     cell = px.select(*by, F.floor(F.col("y") / size).cast("int").alias("y"), F.floor(F.col("x") / size).cast("int").alias("x"), value)
     if how == "mean":
         return cell.groupBy(*by, "y", "x").agg(F.avg(value).alias(value))

@@ -18,6 +18,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import broadcast_if_small, settle
+
 EARTH_KM = 6371.0
 
 
@@ -126,10 +128,25 @@ def neighbours(places: DataFrame, key: str, km: float) -> tuple[DataFrame, DataF
     return pairs, members
 
 
-def neighbour_pairs(places: DataFrame, key: str, km: float) -> DataFrame:
-    """(id_a, id_b), id_a < id_b: all pairs of different keys at most km apart, those at one place included."""
+def _dealt(members: DataFrame, hot: DataFrame, place: str, key: str) -> DataFrame:
+    """members with ``_salt``: those of a hot place dealt over its salts, 0 for others."""
+    return members.join(hot.withColumnRenamed("place", place), place, "left").withColumn("_salt", F.pmod(F.hash(key), F.coalesce("_salts", F.lit(1)))).drop("_salts")
+
+
+def _spread(rows: DataFrame, hot: DataFrame, place: str) -> DataFrame:
+    """rows with ``_salt``: once for each salt of their place."""
+    return rows.join(hot.withColumnRenamed("place", place), place, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+
+
+def neighbour_pairs(places: DataFrame, key: str, km: float, hot_keys: int = 1000) -> DataFrame:
+    """(id_a, id_b), id_a < id_b: all pairs of different keys at most km apart, those at one place included. A place of more than
+    hot_keys keys is dealt over as many tasks as it has such portions."""
     pairs, members = neighbours(places, key, km)
+    members = settle(members, "places-members")
+    n = members.groupBy("place").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_keys)
+    hot = broadcast_if_small(n.select("place", F.ceil(F.col("n") / hot_keys).cast("int").alias("_salts")), 100_000)
     a, b = members.select(F.col("place").alias("place_a"), F.col(key).alias("ka")), members.select(F.col("place").alias("place_b"), F.col(key).alias("kb"))
-    apart = pairs.join(a, "place_a").join(b, "place_b").select(F.least("ka", "kb").alias("id_a"), F.greatest("ka", "kb").alias("id_b"))
-    same = a.join(b, (F.col("place_a") == F.col("place_b")) & (F.col("ka") < F.col("kb"))).select(F.col("ka").alias("id_a"), F.col("kb").alias("id_b"))
-    return apart.unionByName(same)
+    half = _spread(pairs.select("place_a", "place_b"), hot, "place_a").join(_dealt(a, hot, "place_a", "ka"), ["place_a", "_salt"]).select("place_b", "ka")
+    apart = _spread(half, hot, "place_b").join(_dealt(b, hot, "place_b", "kb"), ["place_b", "_salt"]).select(F.least("ka", "kb").alias("id_a"), F.greatest("ka", "kb").alias("id_b"))
+    one = _spread(a.withColumnRenamed("place_a", "place"), hot, "place").join(_dealt(b.withColumnRenamed("place_b", "place"), hot, "place", "kb"), ["place", "_salt"])
+    return apart.unionByName(one.where(F.col("ka") < F.col("kb")).select(F.col("ka").alias("id_a"), F.col("kb").alias("id_b")))

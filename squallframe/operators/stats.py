@@ -14,6 +14,22 @@ from .relational import one_row, running_before
 WHOLE = (W.unboundedPreceding, W.unboundedFollowing)
 
 
+def percentiles(df: DataFrame, by: list[str], wanted: dict[str, tuple[Column, float]]) -> DataFrame:
+    """(by, a column for each wanted): exact, linearly interpolated percentiles of the values that are not null; null for a group
+    without any. Different values are counted before the shuffle and ordered by range partitions, so that no task ever
+    holds all values of a column or group. by must not be null."""
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("_c"), v.cast("double").alias("_v")) for k, (v, _) in wanted.items()])).alias("_e")
+    counts = df.select(*by, each).select(*by, "_e.*").where("_v is not null").groupBy(*by, "_c", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    placed = running_before(counts, [*by, "_c", "_v"], "_n", "_at")
+    ends = placed.groupBy(*by, "_c").agg(F.min("_at").alias("_first"), F.sum("_n").alias("_all"))
+    share = F.element_at(F.create_map(*[x for k, (_, q) in wanted.items() for x in (F.lit(k), F.lit(float(q)))]), F.col("_c"))
+    near = placed.join(ends, [*by, "_c"]).withColumn("_at", F.col("_at") - F.col("_first")).withColumn("_r", share * (F.col("_all") - 1))
+    holds = lambda r: F.max(F.when((F.col("_at") <= r) & (r < F.col("_at") + F.col("_n")), F.col("_v")))
+    got = near.groupBy(*by, "_c").agg(holds(F.floor("_r")).alias("_lo"), holds(F.ceil("_r")).alias("_hi"), F.max(F.col("_r") - F.floor("_r")).alias("_f"))
+    value = got.withColumn("_v", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f"))
+    return value.groupBy(*by).agg(*[F.max(F.when(F.col("_c") == k, F.col("_v"))).alias(k) for k in wanted])
+
+
 def with_ci(agg: DataFrame, names: list[str], level: float = 0.95) -> DataFrame:
     """agg with {name}_ci, half the width of the mean's t confidence interval, from {name}_std and {name}_n, which is dropped;
     null for fewer than two values."""
@@ -40,6 +56,29 @@ def sweep_aggregate(sweep: DataFrame, by: list[str]) -> DataFrame:
     return out.withColumn("ISV_rel_ci_pct", relative_width(F.col("ISV_ci"), F.col("ISV_mean"))).withColumn("LFS_rel_ci_pct", relative_width(F.col("LFS_ci"), F.col("LFS_mean")))
 
 
+# Short names of the solver benchmark's measures; the first group has a mean and a deviation, the second a mean.
+SOLVER_SPREAD = {"nfe_diffusion": "nfe_diffusion", "nfe_reaction": "nfe_reaction", "nfe_imex_total": "nfe_imex_total", "nfe_dopri5": "nfe_dopri5", "nfe_ratio": "nfe_ratio", "wall_imex": "wall_imex_sec", "wall_dopri5": "wall_dopri5_sec", "lambda_max_topo": "lambda_max_topo", "lambda_max_w": "lambda_max_weighted"}
+SOLVER_MEANS = {"l2_error": "solution_l2_error", "rejected_diff": "rejected_diff", "rejected_rxn": "rejected_rxn"}
+
+
+def solver_summary(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Means and deviations of the solver benchmark for each group, the shares of runs that converged, and the shares of the mean
+    evaluations that go to reaction and diffusion (null if there are none)."""
+    aggs = [f(c).alias(f"{k}_{s}") for k, c in SOLVER_SPREAD.items() for f, s in ((F.avg, "mean"), (F.stddev_samp, "std"))]
+    aggs += [F.avg(c).alias(f"{k}_mean") for k, c in SOLVER_MEANS.items()] + [F.avg(F.col(f"{k}_converged").cast("int")).alias(f"{k}_converged_frac") for k in ("dopri5", "imex")]
+    out = rows.groupBy(*by).agg(*aggs, F.count("nfe_imex_total").alias("n_trials"))
+    share = lambda k: F.try_divide(f"nfe_{k}_mean", "nfe_imex_total_mean")
+    return out.withColumn("reaction_fraction", share("reaction")).withColumn("diffusion_fraction", share("diffusion"))
+
+
+def accuracy_summary(rows: DataFrame, by: list[str]) -> DataFrame:
+    """The integration error and the cost of the accuracy rows for each group."""
+    return rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_samples"), F.avg("eps_int").alias("eps_int_mean"), F.stddev_samp("eps_int").alias("eps_int_std"), F.avg("nfe_ref").alias("nfe_ref_mean"), F.avg("nfe_train").alias("nfe_train_mean"),
+        F.avg("nfe_ratio_train_over_ref").alias("nfe_ratio_mean"), F.avg(F.col("ref_converged").cast("int")).alias("frac_ref_converged"), F.avg(F.col("train_converged").cast("int")).alias("frac_train_converged"),
+    )
+
+
 def sweep_rollup(sweep: DataFrame) -> DataFrame:
     """Both groupings, by N and by (class, N), in one pass: grouping sets."""
     return sweep.groupingSets([[F.col("N")], [F.col("lifecycle_class"), F.col("N")]], F.col("lifecycle_class"), F.col("N")).agg(
@@ -87,9 +126,26 @@ def correlations(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.sparkSession.createDataFrame([(r.n, r.pearson, p(r.pearson), r.spearman, p(r.spearman))], "n bigint, pearson double, pearson_p double, spearman double, spearman_p double")
 
 
+#: U has its exact distribution if the smaller group has at most so many values, there are at most so many pairs, and no ties.
+EXACT_SMALLER, EXACT_PAIRS = 8, 100_000
+
+
+def rank_sum_ways(n1: int, n2: int) -> list[int]:
+    """In how many ways n1 and n2 values can be ordered for U = 0, 1, ... n1 n2: the coefficients of the Gaussian binomial."""
+    m = min(n1, n2)
+    ways = [1] + [0] * (n1 * n2)
+    for k in range(1, m + 1):
+        up = max(n1, n2) + k
+        for u in range(n1 * n2, up - 1, -1):
+            ways[u] -= ways[u - up]
+        for u in range(k, n1 * n2 + 1):
+            ways[u] += ways[u - k]
+    return ways
+
+
 def mann_whitney_less(df: DataFrame, group: str, value: str, a, b) -> DataFrame:
-    """One row: U of group a against b and the one-sided p-value that a tends to be smaller (normal approximation with tie and
-    continuity correction)."""
+    """One row: U of group a against b and the one-sided p-value that a tends to be smaller (exact for small groups without
+    ties, else by normal approximation with tie and continuity correction)."""
     good = df.where(F.col(group).isin([a, b]) & F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).alias("v"))
     counts = good.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("g") == a, 1).otherwise(0)).alias("na"))
     ranked = running_before(counts, ["v"], "n", "before")
@@ -97,6 +153,10 @@ def mann_whitney_less(df: DataFrame, group: str, value: str, a, b) -> DataFrame:
     n1, n2 = int(r.na or 0), int((r.n or 0) - (r.na or 0))
     u = (r.rank_sum or 0.0) - n1 * (n1 + 1) / 2
     n = n1 + n2
+    if n1 and n2 and min(n1, n2) <= EXACT_SMALLER and n1 * n2 <= EXACT_PAIRS and not r.ties:
+        ways = rank_sum_ways(n1, n2)
+        p = sum(ways[: int(u) + 1]) / sum(ways)
+        return df.sparkSession.createDataFrame([(n1, n2, float(u), p)], "n_a int, n_b int, u double, p double")
     sigma = math.sqrt(n1 * n2 / 12 * ((n + 1) - (r.ties or 0) / (n * (n - 1)))) if n1 and n2 and n > 1 else 0.0
     p = normal_upper(-(u - n1 * n2 / 2 + 0.5) / sigma) if sigma else None
     return df.sparkSession.createDataFrame([(n1, n2, float(u), p)], "n_a int, n_b int, u double, p double")

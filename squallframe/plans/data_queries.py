@@ -61,6 +61,16 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proximity.neighbour_pairs(settle(places, "places"), "id", NEAR_KM)
 
 
+def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of different places at most NEAR_KM apart, with the number of events at each: the pairs of p2_found without those
+    that membership expands to."""
+    places = proximity.box_places(table(spark, sf_dir, "storm_catalog"))
+    pairs, members = proximity.neighbours(settle(places, "places"), "id", NEAR_KM)
+    n = members.groupBy("place").agg(F.count(F.lit(1)).alias("n"))
+    a, b = (n.select(F.col("place").alias(f"place_{k}"), F.col("n").alias(f"events_{k}")) for k in "ab")
+    return pairs.join(a, "place_a").join(b, "place_b").select("place_a", "place_b", "events_a", "events_b")
+
+
 def p2_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events per study region (a point on an edge is inside)."""
     places = proximity.box_places(table(spark, sf_dir, "storm_catalog")).withColumnRenamed("id", "point_id")
@@ -170,7 +180,7 @@ select file_id, line_no, {out} from sweep join has using (file_id)"""
 
 _FIELD_LIST = ", ".join(n for n, _ in SWEEP_FIELDS)
 
-QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p2_found": p2_found, "p2_regions": p2_regions, "p3_found": p3_found, "p3_table": p3_table, "p3_versions": p3_versions}
+QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p2_regions": p2_regions, "p3_found": p3_found, "p3_table": p3_table, "p3_versions": p3_versions}
 
 SQL = {
     "p1_found": f"""with r as (select file_id, line_no, {_record_sql()} from sweep),
@@ -181,6 +191,10 @@ n as (select *, row_number() over (partition by {_FIELD_LIST} order by file_id,
 select file_id, line_no, {_FIELD_LIST} from n where k = 1""",
     "p2_found": f"""with {_PLACES_SQL.strip()}
 select a.id as id_a, b.id as id_b from places a join places b on a.id < b.id and abs(a.lat - b.lat) <= 0.01
+where 2 * 6371 * asin(least(1, sqrt(power(sin(radians(b.lat - a.lat) / 2), 2)
+      + cos(radians(a.lat)) * cos(radians(b.lat)) * power(sin(radians(b.lon - a.lon) / 2), 2)))) <= 1.0""",
+    "p2_neighbours": f"""with {_PLACES_SQL.strip()}, spots as (select min(id) as place, any_value(lat) as lat, any_value(lon) as lon, count(*) as n from places group by round(lat, 9), round(lon, 9) % 360)
+select a.place as place_a, b.place as place_b, a.n as events_a, b.n as events_b from spots a join spots b on a.place < b.place and abs(a.lat - b.lat) <= 0.01
 where 2 * 6371 * asin(least(1, sqrt(power(sin(radians(b.lat - a.lat) / 2), 2)
       + cos(radians(a.lat)) * cos(radians(b.lat)) * power(sin(radians(b.lon - a.lon) / 2), 2)))) <= 1.0""",
     "p2_regions": _region_sql(),

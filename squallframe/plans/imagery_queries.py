@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,20 +24,46 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.synthetic_frames(e.repartition(spark.sparkContext.defaultParallelism * 2, "event_id"), SIDE, FRAMES)
 
 
+def flash_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flashes of each event as frames (event_id, channel, t, h, w, data) of counts; only frames that have one."""
+    n = SIDE * SIDE
+    at = r08_flash_raster(spark, sf_dir).groupBy(F.col("id").alias("event_id"), "t").agg(F.map_from_entries(F.collect_list(F.struct((F.col("y") * SIDE + F.col("x")).alias("k"), "n"))).alias("m"))
+    data = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.coalesce(F.col("m")[k], F.lit(0)).cast("float"))
+    return at.select("event_id", F.lit("vil").alias("channel"), "t", F.lit(SIDE).alias("h"), F.lit(SIDE).alias("w"), data.alias("data"))
+
+
 def c01_frame_components(spark, sf_dir):
-    return I.frame_components(frames(spark, sf_dir))
+    """Connected groups of flashes in each frame."""
+    return _rounded(I.frame_components(flash_frames(spark, sf_dir), noise=0.5))
 
 
 def a32_temporal_stats(spark, sf_dir):
-    """Mean and deviation over time of each event's components."""
-    c = I.frame_components(frames(spark, sf_dir))
-    return _rounded(c.groupBy("event_id").agg(F.avg("n_cells").alias("cells_mean"), F.stddev_pop("n_cells").alias("cells_std"), F.avg("max_area").alias("area_mean"), F.stddev_pop("max_area").alias("area_std"), F.avg("active").alias("active_mean")))
+    """Mean and deviation over time of each event's components, and the spatial class of the means."""
+    c = I.frame_components(flash_frames(spark, sf_dir), noise=0.5)
+    g = c.groupBy("event_id").agg(F.avg("n_cells").alias("cells_mean"), F.stddev_pop("n_cells").alias("cells_std"), F.avg("max_area").alias("area_mean"), F.stddev_pop("max_area").alias("area_std"), F.avg("active").alias("active_mean"))
+    return _rounded(g.withColumn("subclass", F.when(F.col("active_mean") >= 0.05, F.when(F.col("cells_mean") < 2, "mcs").otherwise("cluster")).otherwise(F.when(F.col("cells_mean") < 2, "isolated").otherwise("scattered"))))
+
+
+def r08_lightning_channel(spark, sf_dir):
+    """The lightning channel of each frame: counts, clipped at 5 and smoothed by a Gaussian of one pixel; its sum and maximum."""
+    return _rounded(I.lightning_channel(flash_frames(spark, sf_dir), 5.0, 1.0), 6)
+
+
+def c01_synthetic_components(spark, sf_dir):
+    return I.frame_components(frames(spark, sf_dir))
 
 
 def x05_region_sweep(spark, sf_dir):
     return I.sweep_regions(frames(spark, sf_dir), [6, 12])
 
 
+def x05_resumed_sweep(spark, sf_dir):
+    """The sweep of the events whose number 6 is done already: number 12 for them, both for the others."""
+    every = frames(spark, sf_dir)
+    done = every.where("pmod(hash(event_id), 2) = 0").select("event_id", F.lit(6).alias("N")).distinct()
+    return I.sweep_regions(every, [6, 12], done=done).select("event_id", "N", "actual_N")
+
+
 def c12_temporal_regions(spark, sf_dir):
     return I.segment_events(frames(spark, sf_dir), 8).select("event_id", "t", F.size(F.array_distinct("label")).alias("regions"))
 
@@ -52,6 +80,17 @@ def e16_solver_rows(spark, sf_dir):
     return I.solver_benchmark(frames(spark, sf_dir), [8], [0])
 
 
+def e17_accuracy_rows(spark, sf_dir):
+    return I.accuracy_rows(frames(spark, sf_dir), [8], [0], steps=2)
+
+
+def e24_triage(spark, sf_dir):
+    """Why the unsplit solver goes badly where it does, in one event of each class."""
+    chosen = latest_events(spark, sf_dir).where("lifecycle_class is not null").groupBy("lifecycle_class").agg(F.min("id").alias("event_id"))
+    f = I.synthetic_frames(chosen.select("event_id", F.pmod(F.hash("event_id"), F.lit(1 << 30)).alias("seed")), SIDE, FRAMES)
+    return I.triage_rows(f, [8], [0]).join(chosen, "event_id").select("lifecycle_class", "event_id", "N", "converged", "accepted", "rejected", "verdict")
+
+
 def l03_forecast(spark, sf_dir):
     return I.forecast_events(frames(spark, sf_dir), 8, 2.0)
 
@@ -67,7 +106,7 @@ def r08_flash_raster(spark, sf_dir):
 def t01_flash_stream(spark, sf_dir):
     """Five-minute counts of flashes by the streaming operator, run to the end of the input."""
     counts = flashes.frame_counts(flashes.read_flashes(spark, f"{sf_dir}/flashes.parquet"))
-    done = flashes.run_to_end(counts, "flashes")
+    done = flashes.run_to_end(counts, "flashes", "update", ("id", "start"))
     return done.select("id", F.floor((F.unix_seconds("start") - F.unix_seconds(F.lit(flashes.ORIGIN).cast("timestamp"))) / 300).cast("int").alias("frame"), "n")
 
 
@@ -102,7 +141,29 @@ def s35_cape(spark, sf_dir):
 
 QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and k[:1] in "acelmrstx" and k[1:3].isdigit()}
 
+_FLASH = f"""{_EXT}, f as (select {_PID.format('event_id')} as id, t_off, lat, lon from flashes where t_off >= 0 and not isnan(t_off)),
+fl as (select id as event_id, cast(floor(t_off / 300) as int) as t, {SIDE - 1} - cast(least(floor((lat - lat1) / (lat2 - lat1) * {SIDE}), {SIDE - 1}) as int) as y, cast(least(floor((lon - lon1) / (lon2 - lon1) * {SIDE}), {SIDE - 1}) as int) as x, count(*) as n
+from f join ext using (id) where lon between lon1 and lon2 and lat between lat1 and lat2 group by 1, 2, 3, 4)"""
+_COMPONENTS = f"""{_FLASH}, reach as (select event_id, t, y, x, y * {SIDE} + x as r from fl
+  union select c.event_id, c.t, c.y, c.x, p.r from reach p join fl c on c.event_id = p.event_id and c.t = p.t and abs(c.y - p.y) <= 1 and abs(c.x - p.x) <= 1),
+cell as (select event_id, t, y, x, min(r) as label from reach group by all),
+comp as (select event_id, t, label, count(*) as area from cell group by all),
+mass as (select event_id, t, count(*) / {SIDE * SIDE}.0 as active, sum(n)::double as mass from fl group by all),
+frame as (select event_id, t, count(*) as n_cells, max(area) as max_area, any_value(active) as active, any_value(mass) as mass from comp join mass using (event_id, t) group by all)"""
+_G = [math.exp(-k * k / 2) for k in range(-4, 5)]
+_WEIGHTS = ", ".join(f"({k}, {g / sum(_G)!r}::double)" for k, g in zip(range(-4, 5), _G))
+_BACK = f"case when {{0}} < 0 then -1 - ({{0}}) when {{0}} >= {SIDE} then {2 * SIDE - 1} - ({{0}}) else {{0}} end"
+
 SQL = {
+    "c01_frame_components": f"with recursive {_COMPONENTS} select event_id, t, n_cells, max_area, {_r('active')} as active, {_r('mass')} as mass from frame",
+    "a32_temporal_stats": f"""with recursive {_COMPONENTS}, g as (select event_id, avg(n_cells) as c, stddev_pop(n_cells) as cs, avg(max_area) as a, stddev_pop(max_area) as s, avg(active) as v from frame group by event_id)
+select event_id, {_r('c')} as cells_mean, {_r('cs')} as cells_std, {_r('a')} as area_mean, {_r('s')} as area_std, {_r('v')} as active_mean,
+  case when v >= 0.05 then case when c < 2 then 'mcs' else 'cluster' end when c < 2 then 'isolated' else 'scattered' end as subclass from g""",
+    "r08_lightning_channel": f"""with {_FLASH}, wt(k, g) as (values {_WEIGHTS}), o as (select y, x from range({SIDE}) a(y), range({SIDE}) b(x)),
+pos as (select p, k, g, {_BACK.format('p + k')} as q from range({SIDE}) r(p), wt), step as (select p, q, sum(g) as g from pos group by all),
+down as (select event_id, t, p as y, x, sum(least(n, 5) * g) as v from fl join step on q = y group by all),
+both_ as (select event_id, t, y, p as x, sum(v * g) as v from down join step on q = x group by all)
+select event_id, t, {_r('sum(v)')} as total, {_r('max(v)')} as most from both_ group by all""",
     "s35_cape": f"""with {_EXT}, tm as (select id, coalesce(month(min(time_utc)), 7) as m from cat group by id),
 c as (select id, m, y, x from ext join tm using (id), range(180) a(y), range(360) b(x) where y between floor(lat1 + 90) and floor(lat2 + 90) and x between floor(lon1 + 180) and floor(lon2 + 180))
 select id, {_r('avg(least(((x * 2160 + y * 12 + m - 1) % 6007) / 5000.0::double, 1))')} as cape, count(*) as cells from c group by id""",

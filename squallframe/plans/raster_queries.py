@@ -92,9 +92,9 @@ def r15_boundary(spark, sf_dir):
 
 
 def m10_boundary_f1(spark, sf_dir):
-    px = P.boundary(raster(spark, sf_dir).withColumn("cell", F.col("v") > 30), _T).withColumnRenamed("edge", "slic_edge")
+    px = P.boundary(raster(spark, sf_dir).withColumn("cell", F.col("v") > 30), _T).withColumnRenamed("edge", "region_edge")
     own = P.boundary(px.select("t", "y", "x", F.col("cell").cast("int").alias("label")), _T, positive=True).select("t", "y", "x", F.col("edge").alias("cell_edge"))
-    return _rounded(P.boundary_f1(px.join(own, ["t", "y", "x"]), _T, "cell_edge", "slic_edge", "cell", 0, 2))
+    return _rounded(P.boundary_f1(px.join(own, ["t", "y", "x"]), _T, "cell_edge", "region_edge", "cell", 0, 2))
 
 
 def r29_match_classes(spark, sf_dir):
@@ -163,6 +163,22 @@ def j10_radius_graph(spark, sf_dir):
     return _rounded(G.radius_graph(_graph(spark, sf_dir)[1], _T, "label", 12.5))
 
 
+def j10_fallback_graph(spark, sf_dir):
+    """A radius at which no two regions are near: two nearest neighbours instead."""
+    return _rounded(G.connected_graph(_graph(spark, sf_dir)[1], _T, "label", 0.5, 2))
+
+
+def g05_superset_graph(spark, sf_dir):
+    """Pairs of regions that come within a radius in any frame."""
+    nodes = _graph(spark, sf_dir)[1].withColumn("g", F.lit(0))
+    return G.superset_graph(nodes, ["g"], "label", "t", 12.5).drop("g")
+
+
+def u04_edges_of_all_frames(spark, sf_dir):
+    """Touching regions of any frame."""
+    return G.union_over_frames(_graph(spark, sf_dir)[0].withColumn("g", F.lit(0)), ["g"], "t").drop("g")
+
+
 def w10_nearest(spark, sf_dir):
     return _rounded(G.nearest(_graph(spark, sf_dir)[1], _T, "label", 3))
 
@@ -194,7 +210,7 @@ def f17_minmax(spark, sf_dir):
     return _rounded(table(spark, sf_dir, "embeddings").select("vec_id", F.aggregate(v, F.lit(0.0), lambda s, e: s + e).alias("total"), F.array_max(v).alias("most"), F.array_min(v).alias("least")), 4)
 
 
-QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and k[:1] in "acfgjmrsw" and k[1:3].isdigit()}
+QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and k[:1] in "acfgjmrsuw" and k[1:3].isdigit()}
 
 _STATS = "st as (select t, label, avg(y) as cy, avg(x) as cx, count(*) as n_px, avg(v) as v_mean, var_pop(v) as v_var, avg(u) as u_mean, var_pop(u) as u_var from px where label > 0 group by t, label)"
 _NB = "nb as (select a.t, a.y, a.x, a.label as a, b.label as b from px a join px b on a.t = b.t and ((b.y = a.y and b.x = a.x + 1) or (b.x = a.x and b.y = a.y + 1)))"
@@ -257,6 +273,10 @@ select t, {_r('k')} as k_max, {_r('3.0 / (0.01 * k)')} as dt_stable, {_r('3.0 /
     "j10_radius_graph": f"{_G}, d as (select a.t, a.label as src, b.label as dst, sqrt(power(a.cy - b.cy, 2) + power(a.cx - b.cx, 2)) as d from st a join st b on a.t = b.t and a.label < b.label) select t, src, dst, {_r('d')} as d from d where d > 0 and d < 12.5",
     "w10_nearest": f"""{_G}, d as (select a.t, a.label as src, b.label as dst, sqrt(power(a.cy - b.cy, 2) + power(a.cx - b.cx, 2)) as d from st a join st b on a.t = b.t and a.label <> b.label),
 r as (select *, cast(row_number() over (partition by t, src order by d, dst) as int) as rank from d) select t, src, dst, {_r('d')} as d, rank from r where rank <= 3""",
+    "j10_fallback_graph": f"""{_G}, d as (select a.t, a.label as src, b.label as dst, sqrt(power(a.cy - b.cy, 2) + power(a.cx - b.cx, 2)) as d from st a join st b on a.t = b.t and a.label <> b.label),
+r as (select *, row_number() over (partition by t, src order by d, dst) as rank from d) select distinct t, least(src, dst) as src, greatest(src, dst) as dst, {_r('d')} as d from r where rank <= 2""",
+    "g05_superset_graph": f"{_G}, d as (select a.t, a.label as src, b.label as dst, sqrt(power(a.cy - b.cy, 2) + power(a.cx - b.cx, 2)) as d from st a join st b on a.t = b.t and a.label < b.label) select src, dst, count(distinct t) as n_frames from d where d > 0 and d < 12.5 group by 1, 2",
+    "u04_edges_of_all_frames": f"with {RASTER_SQL}, {_NB}, {_ADJ} select least(src, dst) as src, greatest(src, dst) as dst, count(distinct t) as n_frames from adj group by 1, 2",
     "a33_label_flow": f"with {RASTER_SQL} select t, label, {_r('avg(u * 10)')} as fy, {_r('avg(v / 20)')} as fx, count(*) as n_px from px where label > 0 group by 1, 2",
     "c18_advected": f"""with {RASTER_SQL} select t, label, {_r('least(greatest(avg(y) + avg(u * 10), 0), 31)')} as cy, {_r('least(greatest(avg(x) + avg(v / 20), 0), 31)')} as cx from px where label > 0 group by 1, 2""",
     "j17_values_at_nodes": f"with {RASTER_SQL}, {_STATS} select st.t, st.label, {_r('px.v')} as v from st left join px on px.t = st.t and px.y = floor(cy) and px.x = floor(cx)",

@@ -14,6 +14,7 @@ from ..operators import relational as R
 from ..operators import stats as S
 from ..schemas import SWEEP_FIELDS
 from ..session import settle, table
+from ..sources.catalog import merge_results, tolerant_sweep
 
 _NAMES = [n for n, _ in SWEEP_FIELDS]
 _VALUES = [n for n in _NAMES if n not in ("N", "event_id")]
@@ -33,13 +34,12 @@ runs as (select * exclude (k) from (select *, row_number() over (partition by ev
 
 
 def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded for comparison with SQL. A nudge keeps means that are exact ties, such as eighths of short decimals, from
-    falling either way with the order of summation; SQL adds the same."""
-    return df.select(*[F.round(F.col(c) + 3.1 * 10.0 ** -(digits + 2), digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    """Doubles rounded for comparison with SQL."""
+    return df.select(*[X.settled(F.col(c), digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def _r(sql: str, digits: int = 6) -> str:
-    return f"round({sql} + 3.1e-{digits + 2:02d}, {digits})"
+    return f"round(try_cast({sql} as decimal(38, 12)), {digits})::double"
 
 
 def _class_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,10 +67,67 @@ def _agg_sql(by: str, where: str = "") -> str:
 agg as (select *, 2 * ISV_ci / (ISV_mean + 1e-12) * 100 as ISV_rel_ci_pct, 2 * LFS_ci / (LFS_mean + 1e-12) * 100 as LFS_rel_ci_pct from agg0)"""
 
 
-_AGG_OUT = ", ".join([f"round({k}_{s} + 3.1e-08, 6) as {k}_{s}" for k in S.METRICS for s in ("mean", "std", "ci")] + [f"round({c} + 3.1e-08, 6) as {c}" for c in ("E_super_mean", "VRAM_mean_MB", "runtime_mean", "ISV_rel_ci_pct", "LFS_rel_ci_pct")] + ["n_events"])
+_AGG_OUT = ", ".join([f"round(try_cast({k}_{s} as decimal(38, 12)), 6)::double as {k}_{s}" for k in S.METRICS for s in ("mean", "std", "ci")] + [f"round(try_cast({c} as decimal(38, 12)), 6)::double as {c}" for c in ("E_super_mean", "VRAM_mean_MB", "runtime_mean", "ISV_rel_ci_pct", "LFS_rel_ci_pct")] + ["n_events"])
 _CLASS_AGG = _agg_sql("lifecycle_class, N", "where lifecycle_class is not null")
 
 
+#: The measures of solver rows, which no table holds, as expressions of a sweep row that both engines know.
+_SOLVER = {
+    "nfe_diffusion": "E_super_est % 97 + 6", "nfe_reaction": "E_super_est % 53 + actual_N % 7", "nfe_imex_total": "E_super_est % 97 + 6 + E_super_est % 53 + actual_N % 7", "nfe_dopri5": "N % 211 + 12", "nfe_ratio": "(N % 211 + 12) / (E_super_est % 97 + 7.0)",
+    "wall_imex_sec": "runtime_s / 8.0", "wall_dopri5_sec": "runtime_s / 4.0", "lambda_max_topo": "GED * 16.0", "lambda_max_weighted": "GED * 4.0", "solution_l2_error": "temporal_br_std / 16.0", "rejected_diff": "N % 5", "rejected_rxn": "N % 3",
+    "dopri5_converged": "E_super_est % 3 = 0", "imex_converged": "E_super_est % 5 <> 0", "eps_int": "temporal_br_std / 32.0", "nfe_ref": "N % 83 + 10", "nfe_train": "N % 37 + 4", "nfe_ratio_train_over_ref": "(N % 37 + 4) / (N % 83 + 10.0)", "ref_converged": "N % 11 <> 0", "train_converged": "N % 7 <> 0",
+}
+
+
+def solver_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs(spark, sf_dir).where("lifecycle_class is not null").select("lifecycle_class", "event_id", "N", *[F.expr(e).cast("double" if "ratio" in k else "boolean" if k.endswith("converged") else "double" if "/" in e or "*" in e else "bigint").alias(k) for k, e in _SOLVER.items()])
+
+
+def a03_solver_summary(spark, sf_dir):
+    return _rounded(S.solver_summary(solver_rows(spark, sf_dir), ["lifecycle_class", "N"]))
+
+
+def a04_accuracy_summary(spark, sf_dir):
+    return _rounded(S.accuracy_summary(solver_rows(spark, sf_dir), ["lifecycle_class", "N"]))
+
+
+def a04_accuracy_elbow(spark, sf_dir):
+    """The first N of each class whose mean error exceeds twice that of its smallest N."""
+    g = S.accuracy_summary(solver_rows(spark, sf_dir), ["lifecycle_class", "N"]).where("eps_int_mean is not null")
+    return _rounded(D.first_crossing(g, ["lifecycle_class"], "N", "eps_int_mean", 2.0))
+
+
+def s48_merged_accuracy(spark, sf_dir):
+    """Two accuracy files with common keys, of which the later one counts."""
+    r = solver_rows(spark, sf_dir).select("event_id", "N", "eps_int", "nfe_ref")
+    return _rounded(merge_results([r.withColumn("eps_int", F.col("eps_int") * 2), r.where("N % 2 = 0")], ["event_id", "N"]))
+
+
+def s15_rebuilt_joint(spark, sf_dir):
+    """Sweep rows under older names and without a joint score, which is rebuilt."""
+    old = runs(spark, sf_dir).drop("J_imex").withColumnRenamed("N", "n_requested")
+    names = {n: ("n_requested",) if n == "N" else ("J_imex", "J") if n == "J_imex" else (n,) for n in _NAMES}
+    got = D.with_joint(settle(tolerant_sweep(old, names), "sweep"), ["event_id"], "lifecycle_class")
+    return got.select("event_id", "N", _joint(F.col("J_imex")).alias("J_imex"))
+
+
+def q14_wide_intervals(spark, sf_dir):
+    """The classes and numbers whose interval is wider than 50 per cent of the mean."""
+    return _class_agg(spark, sf_dir).select("lifecycle_class", "N", F.coalesce(F.col("ISV_rel_ci_pct") > 50, F.lit(False)).alias("high_ci"))
+
+
+def f18_older_scaling(spark, sf_dir):
+    """The array functions of older scripts: physical units, z-scores and scaling by a fixed or the own maximum, on the masses of an event."""
+    a = latest_events(spark, sf_dir).where("peak_mass is not null and r_squared is not null and mean_mass is not null").select("id", F.array("peak_mass", "mean_mass", "r_squared").alias("a"))
+    z, old = X.zscores(F.col("a")), X.fixed_scaling(F.col("a"))
+    return _rounded(a.select("id", z[0].alias("z_peak"), old[1].alias("old_mean"), X.own_scaling(F.col("a"))[1].alias("own_mean"), X.vil_physical(F.col("a")[0]).alias("vil")))
+
+
+def f27_solver_codes(spark, sf_dir):
+    """Names of the codes that a solver ends with."""
+    return runs(spark, sf_dir).select("event_id", "N", X.solver_result((F.col("N") % 5).cast("int")).alias("result"))
+
+
 def d05_recommend(spark, sf_dir):
     return D.recommend(_class_agg(spark, sf_dir))
 
@@ -101,9 +158,12 @@ def d06_metric_vote(spark, sf_dir):
 
 def d10_gated_joint(spark, sf_dir):
     got = D.gated_joint(settle(runs(spark, sf_dir), "runs"), ["event_id"], "lifecycle_class")
-    # Flat curves give huge values (differences over 1e-12): these to a few digits only.
-    j = F.when(F.abs("J_gated") < 1000, F.round(F.col("J_gated") + 3.1e-8, 6)).otherwise(F.round(F.col("J_gated") / F.pow(F.lit(10.0), F.floor(F.log10(F.abs("J_gated")))), 5))
-    return got.select("event_id", "N", j.alias("J_gated"))
+    return got.select("event_id", "N", _joint(F.col("J_gated")).alias("J_gated"))
+
+
+def _joint(c):
+    """Flat curves give huge values (differences over 1e-12): these to a few digits only."""
+    return F.when(F.abs(c) < 1000, X.settled(c, 6)).otherwise(F.round(c / F.pow(F.lit(10.0), F.floor(F.log10(F.abs(c)))), 5))
 
 
 def w15_plateaus(spark, sf_dir):
@@ -170,7 +230,7 @@ def a27_rank_sum(spark, sf_dir):
 
 def a28_quantiles(spark, sf_dir):
     r = runs(spark, sf_dir).where("lifecycle_class is not null")
-    return _rounded(r.groupBy("lifecycle_class").agg(F.median("J_imex").alias("j_median"), F.percentile("J_imex", F.lit(0.98)).alias("j_p98"), F.percentile("FAE", F.lit(0.25)).alias("fae_p25")))
+    return _rounded(S.percentiles(r, ["lifecycle_class"], {"j_median": (F.col("J_imex"), 0.5), "j_p98": (F.col("J_imex"), 0.98), "fae_p25": (F.col("FAE"), 0.25)}))
 
 
 def a29_histogram(spark, sf_dir):
@@ -326,7 +386,7 @@ def f09_activations(spark, sf_dir):
     return r.select("event_id", "N", *[F.round(e, 9).alias(a) for a, e in (("sigmoid", X.sigmoid(x, 5.0, 0.6)), ("silu", X.silu(x)), ("softplus", X.softplus(x)), ("tanh", F.tanh(x)), ("leaky", X.leaky_relu(x)))])
 
 
-QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and k[:1] in "acdfow" and k[1:3].isdigit()}
+QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and k[:1] in "acdfoqsw" and k[1:3].isdigit()}
 
 _E = "(case when N - 1 < pi() * 11664.0 / (147456.0 / greatest(N, 1)) then cast(trunc(N * cast(N - 1 as double)) as bigint) else cast(trunc(N * (pi() * 11664.0 / (147456.0 / greatest(N, 1)))) as bigint) end)"
 
@@ -374,12 +434,12 @@ _CHUNK = "select lifecycle_class, id, cast((row_number() over (order by lifecycl
 SQL = {
     "a01_sweep_by_n": f"with {RUNS_SQL}, {_agg_sql('N')} select N, {_AGG_OUT} from agg",
     "a02_sweep_by_class": f"with {RUNS_SQL}, {_CLASS_AGG} select lifecycle_class, N, {_AGG_OUT} from agg",
-    "a02_sweep_rollup": f"""with {RUNS_SQL} select lifecycle_class, N, round(avg(intra_sp_var_mean) + 3.1e-08, 6) as ISV_mean, round(avg(LFS) + 3.1e-08, 6) as LFS_mean, count(event_id) as n_events, cast(grouping(lifecycle_class) as int) as all_classes
+    "a02_sweep_rollup": f"""with {RUNS_SQL} select lifecycle_class, N, round(try_cast(avg(intra_sp_var_mean) as decimal(38, 12)), 6)::double as ISV_mean, round(try_cast(avg(LFS) as decimal(38, 12)), 6)::double as LFS_mean, count(event_id) as n_events, cast(grouping(lifecycle_class) as int) as all_classes
   from runs group by grouping sets ((N), (lifecycle_class, N))""",
     "d01_elbows": f"with {RUNS_SQL}, {_CLASS_AGG}, {_elbow_sql(_EL)} select * from e_isv_elbow join e_fae_elbow using (lifecycle_class) join e_mdv_elbow using (lifecycle_class) join e_br_elbow using (lifecycle_class)",
     "d02_lfs_ceiling": f"with {RUNS_SQL}, {_CLASS_AGG}, {_CEIL} select * from ceil",
     "d03_memory_ceiling": f"with {RUNS_SQL}, n as (select distinct lifecycle_class, N from runs) select lifecycle_class, coalesce(max(N) filter (where {_E} * 32 * 6 * 4 / 1e6 <= 40), min(N)) as vram_ceiling_N, max({_E}) as most_edges from n group by 1",
-    "d04_joint": f"with {RUNS_SQL}, {_CLASS_AGG}, {_JOINT} select lifecycle_class, N, round(quality + 3.1e-08, 6) as quality, round(stiffness + 3.1e-08, 6) as stiffness, round(joint + 3.1e-08, 6) as joint from joint",
+    "d04_joint": f"with {RUNS_SQL}, {_CLASS_AGG}, {_JOINT} select lifecycle_class, N, round(try_cast(quality as decimal(38, 12)), 6)::double as quality, round(try_cast(stiffness as decimal(38, 12)), 6)::double as stiffness, round(try_cast(joint as decimal(38, 12)), 6)::double as joint from joint",
     "d05_recommend": f"""with {RUNS_SQL}, {_CLASS_AGG.replace('agg0 as', 'agga as').replace('agg as', 'aggb as').replace('from agg0', 'from agga')},
 agg as (select * exclude (k) from (select *, count(*) over (partition by lifecycle_class) as k from aggb) where k >= 3),
 {_elbow_sql(_REC)}, {_JOINT}, {_CEIL},
@@ -397,8 +457,8 @@ rec as (select * from (select raw.*, joint.N, ISV_mean, LFS_mean, quality, stiff
 select lifecycle_class, n_events, isv_elbow_N, fae_elbow_N, mdv_elbow_N, tbr_elbow_N, br_elbow_N, lfs_ceiling_N, vram_ceiling_N, joint_optimal_N, majority_vote_N, N as recommended_N,
   case when majority_vote_N <= lfs_ceiling_N and majority_vote_N <= vram_ceiling_N then 'none (quality-dominated)'
     when majority_vote_N > lfs_ceiling_N and majority_vote_N > vram_ceiling_N then 'LFS-stiffness + VRAM' when majority_vote_N > lfs_ceiling_N then 'LFS-stiffness' else 'VRAM' end as binding_constraint,
-  round(ISV_mean + 3.1e-08, 6) as isv_at_rec, round(LFS_mean + 3.1e-08, 6) as lfs_at_rec, round(quality + 3.1e-06, 4) as quality_at_rec, round(stiffness + 3.1e-06, 4) as stiffness_at_rec, round(joint + 3.1e-06, 4) as joint_score_at_rec,
-  {_E} as e_super_at_rec, round({_E} * 32 * 6 * 4 / 1e6 + 0.0031, 1) as vram_at_rec_mb, round(ISV_rel_ci_pct + 0.0031, 1) as isv_ci_pct_at_rec, vote_breakdown from rec""",
+  round(try_cast(ISV_mean as decimal(38, 12)), 6)::double as isv_at_rec, round(try_cast(LFS_mean as decimal(38, 12)), 6)::double as lfs_at_rec, round(try_cast(quality as decimal(38, 12)), 4)::double as quality_at_rec, round(try_cast(stiffness as decimal(38, 12)), 4)::double as stiffness_at_rec, round(try_cast(joint as decimal(38, 12)), 4)::double as joint_score_at_rec,
+  {_E} as e_super_at_rec, round(try_cast({_E} * 32 * 6 * 4 / 1e6 as decimal(38, 12)), 1)::double as vram_at_rec_mb, round(try_cast(ISV_rel_ci_pct as decimal(38, 12)), 1)::double as isv_ci_pct_at_rec, vote_breakdown from rec""",
     "d10_gated_joint": f"""with {RUNS_SQL}, g0 as (select *, count(*) over w as k, count(*) filter (where intra_sp_var_mean is null or LFS is null or FAE is null or MDV is null or boundary_recall_mean is null or temporal_br_std is null) over w as bad,
     {_E}::double as e from runs window w as (partition by event_id)),
 g as (select *, 1 - boundary_recall_mean as bi from g0 where k >= 3 and bad = 0),
@@ -410,8 +470,8 @@ h as (select *, (i0 - intra_sp_var_mean) / (i0 - min(intra_sp_var_mean) over w +
   (LFS - min(LFS) over w) / (max(LFS) over w - min(LFS) over w + 1e-12) as sl, (e - min(e) over w) / (max(e) over w - min(e) over w + 1e-12) as se,
   (temporal_br_std - min(temporal_br_std) over w) / (max(temporal_br_std) over w - min(temporal_br_std) over w + 1e-12) as st from f window w as (partition by event_id)),
 q as (select *, 0.40 * gi + 0.30 * least(gb, max(gb) filter (where N = el) over (partition by event_id)) - 0.15 * pf - 0.15 * pm as q, 0.10 * sl + 0.60 * se + 0.30 * st as s from h)
-select event_id, N, case when abs(v) < 1000 then round(v + 3.1e-08, 6) else round(v / power(10.0::double, floor(log10(abs(v)))), 5) end as J_gated from (select event_id, N, q - case lifecycle_class {" ".join(f"when '{k}' then {v}" for k, v in X.CLASS_ALPHA.items())} else 0.70 end / (1 + exp(-5 * (s - 0.60))) - 0.10 * q * s as v from q)""",
-    "w15_plateaus": f"{_PLATEAU} select event_id, plateau_width, n_star, round(j_max + 3.1e-08, 6) as j_max from p",
+select event_id, N, case when abs(v) < 1000 then round(try_cast(v as decimal(38, 12)), 6)::double else round(v / power(10.0::double, floor(log10(abs(v)))), 5) end as J_gated from (select event_id, N, q - case lifecycle_class {" ".join(f"when '{k}' then {v}" for k, v in X.CLASS_ALPHA.items())} else 0.70 end / (1 + exp(-5 * (s - 0.60))) - 0.10 * q * s as v from q)""",
+    "w15_plateaus": f"{_PLATEAU} select event_id, plateau_width, n_star, round(try_cast(j_max as decimal(38, 12)), 6)::double as j_max from p",
     "o08_extremes_n": f"""{_PLATEAU}, v as (select event_id, plateau_width from p where plateau_width is not null)
 select * from (select *, 'narrow' as side from v order by plateau_width, event_id limit 5) union all select * from (select *, 'wide' as side from v order by plateau_width desc, event_id limit 5)""",
     "d15_soft_argmax": f"with {RUNS_SQL}, src as (select * from runs where boundary_recall_mean is not null) {_soft('boundary_recall_mean', 0.95, 'soft_N')}",
@@ -421,7 +481,7 @@ st as (select event_id, min(N) filter (where r = 1) as star from (select event_i
 select event_id, lo, star, hi, case when lo is null or hi is null or star is null then 'unknown' when lo <= star and star <= hi then 'inside' when star < lo then 'below' else 'above' end as verdict
 from st join lo using (event_id) join hi using (event_id)""",
     "d14_first_crossing": f"""with {RUNS_SQL}, b as (select event_id, N, runtime_s, first_value(runtime_s) over (partition by event_id order by N) as b from runs where runtime_s is not null)
-select event_id, round(max(b) + 3.1e-08, 6) as baseline, min(N) filter (where runtime_s > 3 * b) as elbow_N from b group by event_id""",
+select event_id, round(try_cast(max(b) as decimal(38, 12)), 6)::double as baseline, min(N) filter (where runtime_s > 3 * b) as elbow_N from b group by event_id""",
     "d06_metric_vote": f"""with {RUNS_SQL}, {_agg_sql('N')}, al as (select 1 as a, * from agg),
 {_elbow_sql({"isv_elbow": "ISV_mean", "fae_elbow": "FAE_mean", "bdv_elbow": "BDV_mean", "mdv_elbow": "MDV_mean", "br_elbow": "(1 - BR_mean)", "tbr_elbow": "TBR_mean"}, "a", "al")},
 one as (select * from e_isv_elbow join e_fae_elbow using (a) join e_bdv_elbow using (a) join e_mdv_elbow using (a) join e_br_elbow using (a) join e_tbr_elbow using (a)),
@@ -429,17 +489,17 @@ pool as (select unnest([isv_elbow, fae_elbow, bdv_elbow, mdv_elbow, br_elbow, tb
 vote as (select v from (select v, count(*) as c, min(p) as p from pool group by v) order by c desc, p limit 1)
 select isv_elbow, fae_elbow, bdv_elbow, mdv_elbow, br_elbow, tbr_elbow, v as voted_N from one, vote""",
     "w12_head_tail": f"""with {RUNS_SQL}, s as (select event_id, N, LFS, LFS - lag(LFS) over (partition by event_id order by N) as step from runs where LFS is not null)
-select event_id, round(arg_min(LFS, N) + 3.1e-08, 6) as first_lfs, round(arg_max(LFS, N) + 3.1e-08, 6) as last_lfs, round(avg(abs(step)) + 3.1e-08, 6) as mean_step, round(max(LFS) - min(LFS) + 3.1e-08, 6) as lfs_range, count(*) as n from s group by event_id""",
-    "a28_quantiles": f"with {RUNS_SQL} select lifecycle_class, round(median(J_imex) + 3.1e-08, 6) as j_median, round(quantile_cont(J_imex, 0.98) + 3.1e-08, 6) as j_p98, round(quantile_cont(FAE, 0.25) + 3.1e-08, 6) as fae_p25 from runs where lifecycle_class is not null group by 1",
+select event_id, round(try_cast(arg_min(LFS, N) as decimal(38, 12)), 6)::double as first_lfs, round(try_cast(arg_max(LFS, N) as decimal(38, 12)), 6)::double as last_lfs, round(try_cast(avg(abs(step)) as decimal(38, 12)), 6)::double as mean_step, round(try_cast(max(LFS) - min(LFS) as decimal(38, 12)), 6)::double as lfs_range, count(*) as n from s group by event_id""",
+    "a28_quantiles": f"with {RUNS_SQL} select lifecycle_class, round(try_cast(median(J_imex) as decimal(38, 12)), 6)::double as j_median, round(try_cast(quantile_cont(J_imex, 0.98) as decimal(38, 12)), 6)::double as j_p98, round(try_cast(quantile_cont(FAE, 0.25) as decimal(38, 12)), 6)::double as fae_p25 from runs where lifecycle_class is not null group by 1",
     "a29_histogram": f"with {RUNS_SQL} select case when boundary_recall_mean = 1 then 20 else cast(floor(boundary_recall_mean * 20) + 1 as int) end as bin, count(*) as n from runs where boundary_recall_mean between 0 and 1 group by 1",
     "a30_plurality": """with r as (select upper(regexp_replace(regexp_replace(event_id, '\\s', '', 'g'), '(_n_sweep|_sweep|_metrics|_result|_out)$', '', 'i')) as event_id, lifecycle_class, file_id * 100000 + line_no as p
   from sweep where event_id is not null and lifecycle_class is not null),
 c as (select event_id, lifecycle_class, row_number() over (partition by event_id order by count(*) desc, min(p)) as k from r group by 1, 2) select event_id, lifecycle_class from c where k = 1""",
-    "a31_profile": " union all ".join(f"select '{n}' as \"column\", round(min(x) + 3.1e-08, 6) as min, round(max(x) + 3.1e-08, 6) as max, round(avg(x) + 3.1e-08, 6) as mean, round(stddev_pop(x) + 3.1e-08, 6) as std, round(avg((x = 0)::int) * 100 + 3.1e-08, 6) as zero_pct from (select case when isnan({n}::double) then null else {n}::double end as x from sweep)" for n, t in SWEEP_FIELDS if t != "string"),
+    "a31_profile": " union all ".join(f"select '{n}' as \"column\", round(try_cast(min(x) as decimal(38, 12)), 6)::double as min, round(try_cast(max(x) as decimal(38, 12)), 6)::double as max, round(try_cast(avg(x) as decimal(38, 12)), 6)::double as mean, round(try_cast(stddev_pop(x) as decimal(38, 12)), 6)::double as std, round(try_cast(avg((x = 0)::int) * 100 as decimal(38, 12)), 6)::double as zero_pct from (select case when isnan({n}::double) then null else {n}::double end as x from sweep)" for n, t in SWEEP_FIELDS if t != "string"),
     "a36_plot_range": "select img_type, coalesce(min(x), 0.0) as vmin, coalesce(max(x), 1.0) as vmax from (select img_type, case when isnan(pct_missing) then null else nullif(pct_missing, 0) end as x from storm_catalog) group by 1",
     "a18_crosstab": f"{_LATEST} select spatial_type, lifecycle_class, count(*) as n from ev where lifecycle_class is not null and spatial_type is not null group by 1, 2",
-    "a19_pivot": f"with {RUNS_SQL} select lifecycle_class, {', '.join(f'round(avg(runtime_s) filter (where N = {n}) + 3.1e-08, 6) as n{n}' for n in (100, 200, 400, 800))} from runs where lifecycle_class is not null group by 1",
-    "a20_numeric_means": f"with {RUNS_SQL} select lifecycle_class, {', '.join(f'round(avg({n}) + 3.1e-08, 6) as {n}' for n, t in SWEEP_FIELDS if t != 'string')} from runs where lifecycle_class is not null group by 1",
+    "a19_pivot": f"with {RUNS_SQL} select lifecycle_class, {', '.join(f'round(try_cast(avg(runtime_s) filter (where N = {n}) as decimal(38, 12)), 6)::double as n{n}' for n in (100, 200, 400, 800))} from runs where lifecycle_class is not null group by 1",
+    "a20_numeric_means": f"with {RUNS_SQL} select lifecycle_class, {', '.join(f'round(try_cast(avg({n}) as decimal(38, 12)), 6)::double as {n}' for n, t in SWEEP_FIELDS if t != 'string')} from runs where lifecycle_class is not null group by 1",
     "a17_distinct": f"with {RUNS_SQL} select lifecycle_class, count(distinct event_id) as n_events, count(distinct N) as n_counts, count(*) as n_rows from runs group by 1",
     "a26_coefficients": f"""with {RUNS_SQL}, g as (select runtime_s as x, E_super_est::double as y from runs where runtime_s is not null and E_super_est is not null),
 r as (select x, y, {_RANK_SQL.format('x')} as rx, {_RANK_SQL.format('y')} as ry from g)
@@ -447,7 +507,7 @@ select count(*) as n, {_r('corr(x, y)')} as pearson, {_r('corr(rx, ry)')} as spe
     "a27_rank_sum": f"""with {RUNS_SQL}, g as (select lifecycle_class as c, J_imex as v from runs where lifecycle_class in ('STEADY', 'PLATEAU') and J_imex is not null),
 r as (select c, {_RANK_SQL.format('v')} as r from g), k as (select count(*) filter (where c = 'STEADY') as na, count(*) as n, sum(r) filter (where c = 'STEADY') as s from r)
 select cast(na as int) as n_a, cast(n - na as int) as n_b, {_r('s - na * (na + 1) / 2')} as u from k""",
-    "d12_thresholds": f"{_LATEST} select round(quantile_cont(slope, 0.85) + 3.1e-08, 6) as growth, round(quantile_cont(slope, 0.15) + 3.1e-08, 6) as decay, round(quantile_cont(abs(slope), 0.25) + 3.1e-08, 6) as stable, round(quantile_cont(mean_mass, 0.75) + 3.1e-08, 6) as high_mass, round(quantile_cont(mean_mass, 0.10) + 3.1e-08, 6) as noise_mass from ev",
+    "d12_thresholds": f"{_LATEST} select round(try_cast(quantile_cont(slope, 0.85) as decimal(38, 12)), 6)::double as growth, round(try_cast(quantile_cont(slope, 0.15) as decimal(38, 12)), 6)::double as decay, round(try_cast(quantile_cont(abs(slope), 0.25) as decimal(38, 12)), 6)::double as stable, round(try_cast(quantile_cont(mean_mass, 0.75) as decimal(38, 12)), 6)::double as high_mass, round(try_cast(quantile_cont(mean_mass, 0.10) as decimal(38, 12)), 6)::double as noise_mass from ev",
     "d08_lifecycle": f"""{_LATEST}, e as (select *, {_PHASE_SQL} as ph from ev where slope is not null and mean_mass is not null),
 t as (select quantile_cont(slope, 0.85) as g, quantile_cont(slope, 0.15) as d, quantile_cont(abs(slope), 0.25) as s, quantile_cont(mean_mass, 0.75) as h, quantile_cont(mean_mass, 0.10) as q from e)
 select id, case when mean_mass < q or active_fraction_t0 < 0.005 then 'QUIESCENT' when n_phases >= 3 and (contains(ph, 'G→D→G') or contains(ph, 'D→G→D')) then 'EPISODIC'
@@ -479,3 +539,22 @@ SQL["d17_subclass_stability"] = f"""{_PLATEAU}, {EVENTS_SQL}, e as (select id, (
 select subclass_changed, count(*) as events, {_r('median(plateau_width)')} as width_median, {_r('quantile_cont(plateau_width, 0.98)')} as width_p98, {_r('median(n_star)')} as n_star_median from p join e on e.id = p.event_id group by 1"""
 SQL["d19_report"] = f"""select printf('%s: N=%d of %d events (vote %d, LFS ceiling %d, VRAM ceiling %d; %s)', lifecycle_class, recommended_N, n_events, majority_vote_N, lfs_ceiling_N, vram_ceiling_N, binding_constraint) as line
 from ({SQL["d05_recommend"]})"""
+
+_SOLVER_SQL = f"{RUNS_SQL}, sr as (select lifecycle_class, event_id, N, {', '.join(f'{e} as {k}' for k, e in _SOLVER.items())} from runs where lifecycle_class is not null)"
+_MEAN = lambda k, c: f"{_r(f'avg({c})')} as {k}_mean"
+_FRAC = lambda k: f"avg(cast({k} as int))"
+_ACC = f"""{_SOLVER_SQL}, ac as (select lifecycle_class, N, avg(eps_int) as m from sr group by 1, 2 having avg(eps_int) is not null), first as (select *, first_value(m) over (partition by lifecycle_class order by N) as b from ac)"""
+SQL |= {
+    "a03_solver_summary": f"""with {_SOLVER_SQL} select lifecycle_class, N, {", ".join(f"{_MEAN(k, c)}, {_r(f'stddev_samp({c})')} as {k}_std" for k, c in S.SOLVER_SPREAD.items())}, {", ".join(_MEAN(k, c) for k, c in S.SOLVER_MEANS.items())},
+  {", ".join(f"{_r(_FRAC(f'{k}_converged'))} as {k}_converged_frac" for k in ("dopri5", "imex"))}, count(nfe_imex_total) as n_trials, {", ".join(f"{_r(f'avg(nfe_{k}) / nullif(avg(nfe_imex_total), 0)')} as {k}_fraction" for k in ("reaction", "diffusion"))}
+  from sr group by lifecycle_class, N""",
+    "a04_accuracy_summary": f"""with {_SOLVER_SQL} select lifecycle_class, N, count(*) as n_samples, {_MEAN('eps_int', 'eps_int')}, {_r('stddev_samp(eps_int)')} as eps_int_std, {_MEAN('nfe_ref', 'nfe_ref')}, {_MEAN('nfe_train', 'nfe_train')}, {_MEAN('nfe_ratio', 'nfe_ratio_train_over_ref')},
+  {_r(_FRAC('ref_converged'))} as frac_ref_converged, {_r(_FRAC('train_converged'))} as frac_train_converged from sr group by lifecycle_class, N""",
+    "a04_accuracy_elbow": f"with {_ACC} select lifecycle_class, {_r('max(b)')} as baseline, min(N) filter (where m > 2 * b) as elbow_N from first group by lifecycle_class",
+    "s48_merged_accuracy": f"with {_SOLVER_SQL} select event_id, N, {_r('eps_int * case when N % 2 = 0 then 1 else 2 end')} as eps_int, nfe_ref from sr",
+    "s15_rebuilt_joint": f"with {RUNS_SQL} select r.event_id, r.N, g.J_gated as J_imex from runs r left join ({SQL['d10_gated_joint']}) g using (event_id, N)",
+    "q14_wide_intervals": f"with {RUNS_SQL}, {_CLASS_AGG} select lifecycle_class, N, coalesce(ISV_rel_ci_pct > 50, false) as high_ci from agg",
+    "f18_older_scaling": f"""{_LATEST}, m as (select id, peak_mass as p, mean_mass as q, r_squared as t, (peak_mass + mean_mass + r_squared) / 3 as mu from ev where peak_mass is not null and r_squared is not null and mean_mass is not null)
+select id, {_r('(p - mu) / (sqrt(((p - mu) ** 2 + (q - mu) ** 2 + (t - mu) ** 2) / 3) + 1e-9)')} as z_peak, {_r('q / 255.0')} as old_mean, {_r('q / (greatest(p, q, t) + 1e-6)')} as own_mean, {_r('least(greatest(p, 0), 255) / 255.0 * 70.0')} as vil from m""",
+    "f27_solver_codes": f"with {RUNS_SQL} select event_id, N, case N % 5 when 0 then 'successful' when 1 then 'max_steps_reached' when 2 then 'dt_min_reached' when 3 then 'nonlinear_divergence' else 'unknown(4)' end as result from runs",
+}

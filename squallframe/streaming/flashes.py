@@ -34,20 +34,25 @@ def frame_counts(stream: DataFrame, late: str = "1 day", frame: str = "5 minutes
     return stream.withWatermark("at", late).groupBy("id", w.alias("w")).agg(F.count(F.lit(1)).alias("n")).select("id", F.col("w.start").alias("start"), "n")
 
 
-def run_to_end(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Process all that is there and return the sink as a table: each batch replaces the result in complete mode and is added in
-    append mode. A batch that is repeated after a failure overwrites its own folder."""
+def run_to_end(stream: DataFrame, name: str, mode: str = "append", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Process all that is there and return the sink as a table. Each batch writes its rows, in update mode only the changed ones,
+    into a folder of its own, which a batch repeated after a failure overwrites. Of the rows with one ``keys`` the last
+    batch's counts (update mode); without keys all rows do."""
     spark = stream.sparkSession
     root = work_dir(spark, f"stream-{name}")
 
     def sink(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/out/{'all' if mode == 'complete' else f'batch={number}'}")
+        batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
 
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").foreachBatch(sink).trigger(availableNow=True).start()
     q.awaitTermination()
     try:
-        return spark.read.parquet(f"{root}/out/all" if mode == "complete" else f"{root}/out").select(*stream.columns)
+        rows = spark.read.parquet(f"{root}/out")
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return spark.createDataFrame([], stream.schema)  # no input, no batch
+    if keys:
+        rest = [c for c in stream.columns if c not in keys]
+        rows = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*keys, "_r.*")
+    return rows.select(*stream.columns)

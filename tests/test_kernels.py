@@ -134,6 +134,72 @@ def test_scores():
     assert empty["zero_cell"] and empty["f1_multi_G"] == 0
 
 
+def test_level_weights_by_hand():
+    cells = {k: np.zeros((8, 8), int) for k in ("low", "med", "high")}
+    cells["low"][1:7, 1:7], cells["med"][2:5, 2:5] = 1, 1
+    border = {k: int(R.boundary(c, True).sum()) for k, c in cells.items()}
+    w = S.level_weights(cells, np.ones((8, 8)))
+    assert set(w["P"]) == {"low", "med"} and w["G"] == {"low": 0.5, "med": 0.5}
+    assert math.isclose(w["P"]["low"], border["med"] / (border["low"] + border["med"]), rel_tol=1e-6) and w["P"]["med"] > w["P"]["low"]
+    assert math.isclose(w["F"]["low"], 0.4) and math.isclose(w["F"]["med"], 0.6)
+
+
+def test_edge_recall_by_hand():
+    labels = np.ones((8, 8), int)
+    labels[:, 4:] = 2
+    frame = np.zeros((8, 8))
+    frame[:, 4:] = 1.0
+    assert S.edge_recall(labels, frame) == 1.0
+    assert S.edge_recall(labels, frame * 0.01) == 1.0  # a weak frame has edges of its own
+    assert S.edge_recall(np.ones((8, 8), int), frame) == 0.0 and S.edge_recall(labels, np.zeros((8, 8))) == 1.0
+    labels[:, :4] = 0  # the side without a region does not count
+    assert 0 < S.edge_recall(labels, frame) < 1
+
+
+def test_tolerance_search_stops_at_a_run_that_fails(monkeypatch):
+    runs = iter([(np.ones(2), True), (np.ones(2) * 2, True), (np.ones(2) * 2, False)])
+    monkeypatch.setattr(V, "strang", lambda *a, **k: (lambda r: (r[0], {"imex_converged": r[1]}))(next(runs)))
+    assert V.calibrate_tolerance(np.ones(2), None, None, None, start=0.08) == (0.04, False)
+    monkeypatch.setattr(V, "strang", lambda *a, **k: (np.ones(2), {"imex_converged": False}))
+    assert V.calibrate_tolerance(np.ones(2), None, None, None, start=0.08) == (0.08, False)
+
+
+def slow_flood(height, markers, compactness):
+    out, done, age = markers.copy(), markers > 0, 0
+    todo = []
+    for y, x in zip(*np.nonzero(markers)):
+        todo.append((height[y, x], age, y, x, y, x))
+        age += 1
+    while todo:
+        todo.sort()
+        _, _, y, x, sy, sx = todo.pop(0)
+        for ny, nx in ((y - 1, x), (y, x - 1), (y, x + 1), (y + 1, x)):
+            if 0 <= ny < height.shape[0] and 0 <= nx < height.shape[1] and not done[ny, nx]:
+                done[ny, nx], out[ny, nx] = True, out[y, x]
+                todo.append((height[ny, nx] + compactness * math.hypot(ny - sy, nx - sx), age, ny, nx, sy, sx))
+                age += 1
+    return out
+
+
+@pytest.mark.parametrize("compactness", [0.0, 0.1])
+def test_watershed_against_a_plain_flood(compactness):
+    z = RNG.random((15, 11)).round(1)
+    marks = np.zeros((15, 11), np.int32)
+    marks[2, 3], marks[9, 8], marks[14, 0] = 1, 2, 3
+    assert (S.watershed(z, marks, compactness) == slow_flood(z, marks, compactness)).all()
+    inside = RNG.random((15, 11)) < 0.7
+    got = S.watershed(z, marks, compactness, inside)
+    assert (got[~inside] == 0).all()
+
+
+def test_distances_against_all_pairs():
+    m = RNG.random((9, 13)) < 0.1
+    m[4, 4] = True
+    p = np.argwhere(m)
+    want = ((np.argwhere(np.ones_like(m))[:, None] - p[None]) ** 2).sum(2).min(1).reshape(m.shape)
+    assert (S.nearest_set(m) == want).all()
+
+
 def test_tracking_gives_new_ids():
     flow = np.zeros((30, 30, 2))
     old, new = np.array([[5.0, 5.0], [20.0, 20.0]]), np.array([[20.0, 21.0], [5.0, 6.0], [12.0, 28.0]])
@@ -190,7 +256,7 @@ def test_diffusion_and_reaction():
     assert row["imex_converged"] and row["dopri5_converged"] and row["nfe_dopri5"] > 0
     acc = V.accuracy(h, f, rhs, jac, steps=2)
     assert acc["eps_int"] < 1e-2 and acc["nfe_ref"] > acc["nfe_train"]
-    assert V.calibrate_tolerance(h, f, rhs, jac, steps=1) <= 1e-2
+    assert V.calibrate_tolerance(h, f, rhs, jac, steps=1)[0] <= 1e-2
     best, every = V.calibrate_width(np.ones(len(s)), n, s, d, 1.0)
     assert best == min(every, key=every.get)
 
