@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -56,6 +58,7 @@ def shared_root(spark: SparkSession) -> str:
             if not sc.master.startswith("local"):
                 raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             at = "file://" + tempfile.mkdtemp(prefix="squallframe-")
+            atexit.register(shutil.rmtree, local_path(at), ignore_errors=True)
             sc._squallframe_root = at
             sc.setCheckpointDir(at)
     return at.rstrip("/")
@@ -64,12 +67,18 @@ def shared_root(spark: SparkSession) -> str:
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below shared_root(); the caller writes it once."""
     root = shared_root(spark)
-    at = f"{root}/squallframe/{name}-{uuid.uuid4().hex[:12]}"
+    at = f"{root}/squallframe/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
     if is_local(at):
         os.makedirs(local_path(at), exist_ok=True)
     return at
 
 
+def clear_work(spark: SparkSession) -> None:
+    """Remove all that work_dir() gave this application, when none of its results is read any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/squallframe/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def is_local(uri: str) -> bool:
     return uri.startswith(("file:", "/"))
 
