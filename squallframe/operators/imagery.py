@@ -4,14 +4,18 @@ count), never a frame of a sequence, since regions depend on the frames before."
 from __future__ import annotations
 
 import time
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import expressions as X
-from ..kernels import model, raster, segment, solver
+from ..kernels import batched, model, raster, segment, solver
 from .decision import with_joint
 
 SWEEP_OUT = "event_id string, N int, actual_N int, FAE double, BDV double, GED double, MDV double, LFS double, intra_sp_var_mean double, intra_sp_var_std double, boundary_recall_mean double, temporal_br_std double, runtime_s double, _pixels int"
@@ -21,22 +25,30 @@ def synthetic_frames(events: DataFrame, side: int = 32, frames: int = 6) -> Data
     """Frames (event_id, channel, t, h, w, data) of synthetic storms for (event_id, seed): a radar channel and two infrared ones of half
     the side that follow it. Made where they are needed; nothing is collected."""
 
-    def run(pdfs):
-        for pdf in pdfs:
-            rows = []
-            for event_id, seed in zip(pdf["event_id"], pdf["seed"]):
-                vil = raster.storm_cells(side, side, frames, int(seed))
-                for t, f in enumerate(vil):
-                    rows.append((event_id, "vil", t, side, side, f.astype(np.float32).ravel()))
-                    small = raster.gaussian(f, 1.0)[::2, ::2]
-                    for k, name in enumerate(("ir107", "ir069")):
-                        rows.append((event_id, name, t, side // 2, side // 2, (250 - (0.4 + 0.1 * k) * small).astype(np.float32).ravel()))
-            yield pd.DataFrame(rows, columns=["event_id", "channel", "t", "h", "w", "data"])
+    half = len(range(0, side, 2))
+    planes = [(name, t, n) for name, n in (("vil", side), ("ir107", half), ("ir069", half)) for t in range(frames)]
+    some = max(1, 1_000_000 // max(1, frames * side * side))  # events at a time
+
+    def run(batches):
+        for whole in batches:
+            for i in range(0, whole.num_rows, some):
+                b = whole.slice(i, some)
+                vil = raster.storms(side, side, frames, b.column("seed").to_pylist())
+                k = len(vil)
+                small = np.moveaxis(raster.gaussian(np.moveaxis(vil, (2, 3), (0, 1)), 1.0)[::2, ::2], (0, 1), (2, 3))
+                values = np.concatenate([v.reshape(k, -1).astype(np.float32) for v in (vil, 250 - 0.4 * small, 250 - 0.5 * small)], 1)
+                each = lambda column, kind: pa.array([p[column] for p in planes] * k, kind)  # noqa: E731, B023
+                offsets = np.concatenate([[0], np.cumsum([n * n for _, _, n in planes] * k)]).astype(np.int32)
+                columns = [b.column("event_id").take(pa.array(np.repeat(np.arange(k), len(planes)))), each(0, pa.string()), each(1, pa.int32()), each(2, pa.int32()), each(2, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel()))]
+                yield pa.RecordBatch.from_arrays(columns, ["event_id", "channel", "t", "h", "w", "data"])
+
+    return events.select("event_id", "seed").mapInArrow(run, "event_id string, channel string, t int, h int, w int, data array<float>")
 
-    return events.select("event_id", "seed").mapInPandas(run, "event_id string, channel string, t int, h int, w int, data array<float>")
 
+CHANNELS = ("vil", "ir107", "ir069")
 
-def stack(pdf: pd.DataFrame, channels: tuple[str, ...] = ("vil", "ir107", "ir069")) -> np.ndarray | None:
+
+def stack(pdf: pd.DataFrame, channels: tuple[str, ...] = CHANNELS) -> np.ndarray | None:
     """(T, H, W, C) of one event: channels scaled by their own range over all frames and resized to the first one's grid; a missing
     further channel is zeros, a missing first one gives None."""
     first = pdf[pdf["channel"] == channels[0]].sort_values("t")
@@ -53,6 +65,85 @@ def stack(pdf: pd.DataFrame, channels: tuple[str, ...] = ("vil", "ir107", "ir069
     return out
 
 
+def stacks(rows: pa.Table, channels: tuple[str, ...] = CHANNELS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """[(rows, cubes (K, T, H, W, C))]: the stack() of every event of a table in which an event's rows lie together, and a row of
+    each event. Events with frames of the same channels, times and sizes are made at once; those without the first channel are
+    left out."""
+    ids = rows.column("event_id").to_pylist()
+    event = np.cumsum([k > 0 and a != b for k, (a, b) in enumerate(zip(ids, [None, *ids]))])
+    number = {name: c for c, name in enumerate(channels)}
+    shape = np.stack([np.array([number.get(v, -1) for v in rows.column("channel").to_pylist()], np.int64), *(rows.column(c).to_numpy().astype(np.int64) for c in ("t", "h", "w"))], 1)
+    order = np.lexsort((shape[:, 1], shape[:, 0], event))
+    order = order[shape[order, 0] >= 0]
+    shape, event = shape[order], event[order]
+    data = rows.column("data").combine_chunks()
+    data = data.chunk(0) if isinstance(data, pa.ChunkedArray) else data
+    offsets, values = data.offsets.to_numpy(), data.values.to_numpy(zero_copy_only=False)
+    begin, length = offsets[:-1][order], np.diff(offsets)[order]
+    if (length != shape[:, 2] * shape[:, 3]).any():
+        raise ValueError("a frame's data does not have h times w values")
+    alike: dict[bytes, list[int]] = {}
+    first = np.flatnonzero(np.diff(event, prepend=-1))
+    for a, b in zip(first, np.append(first[1:], len(event))):
+        if shape[a, 0] == 0:
+            alike.setdefault(shape[a:b].tobytes(), []).append(int(a))
+    out = []
+    for kind, at in alike.items():
+        plan, at = np.frombuffer(kind, np.int64).reshape(-1, 4), np.array(at)
+        h, w = (int(v) for v in plan[0, 2:])
+        times = plan[plan[:, 0] == 0, 1].tolist()
+        if len({(c, t) for c, t, _, _ in plan.tolist()}) < len(plan):
+            raise ValueError("an event has two frames of one channel and time")
+        cubes = np.zeros((len(at), len(times), h, w, len(channels)))
+        for c in range(len(channels)):
+            cube = np.zeros((len(times), h, w, len(at)))
+            for r, (_, t, hr, wr) in enumerate(plan.tolist()):
+                if plan[r, 0] == c and t in times:
+                    cube[times.index(t)] = raster.resize_cubic(values[begin[at + r] + np.arange(hr * wr)[:, None]].reshape(hr, wr, -1), h, w)
+            lo, hi = cube.min((0, 1, 2)), cube.max((0, 1, 2))
+            cubes[..., c] = np.moveaxis(np.where(hi > lo, (cube - lo) / np.where(hi > lo, hi - lo, 1), 0.0), -1, 0)
+        out.append((order[at], cubes))
+    return out
+
+
+def whole_events(batches) -> Iterator[pa.Table]:
+    """Batches sorted by event_id as tables in which no event is divided: the last event of a batch waits for the next batch."""
+    kept: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        ids = b.column("event_id").to_pylist()
+        cut = ids.index(ids[-1])
+        if cut or kept and kept[0].column("event_id")[0].as_py() != ids[-1]:
+            yield pa.Table.from_batches([*kept, b.slice(0, cut)])
+            kept = []
+        kept.append(b.slice(cut))
+    if kept:
+        yield pa.Table.from_batches(kept)
+
+
+def map_stacks(frames: DataFrame, run, ddl: str) -> DataFrame:
+    """A row for each dict that run(event ids, numbers of regions, cubes) gives, the cubes being those of stacks(): as grouping by
+    event_id, but for as many events at a time as a batch holds. frames: of pending_counts()."""
+    names = [c.split()[0] for c in ddl.split(", ")]
+
+    def rows_of(batches):
+        for table in whole_events(batches):
+            ids, counts = table.column("event_id"), table.column("_n")
+            for rows, cubes in stacks(table):
+                by_counts: dict[tuple, list[int]] = {}
+                for k, n in enumerate(counts.take(pa.array(rows)).to_pylist()):
+                    by_counts.setdefault(tuple(n), []).append(k)
+                for n_of, at in by_counts.items():
+                    got = run(ids.take(pa.array(rows[at])).to_pylist(), n_of, cubes[at])
+                    for pdf in got:
+                        yield pa.RecordBatch.from_pandas(pdf[names], schema=schema, preserve_index=False)
+
+    frames = frames.repartition("event_id").sortWithinPartitions("event_id")
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
+    return frames.mapInArrow(rows_of, ddl)
+
+
 def pending_counts(frames: DataFrame, counts: list[int], done: DataFrame | None) -> DataFrame:
     """frames with ``_n``, the numbers of regions that each event still needs: all, or those that ``done`` (event_id, N) lacks.
     Finished events lose their frames before the shuffle."""
@@ -218,8 +309,22 @@ ACCURACY_OUT = (
 
 
 def accuracy_rows(frames: DataFrame, counts: list[int], seeds: list[int], sigma: float = 1.0, steps: int = 3, done: DataFrame | None = None) -> DataFrame:
-    """The split solver at a loose tolerance against itself at a tight one, for each event, number of regions and seed."""
-    return _solver_rows(frames, counts, seeds, sigma, done, ACCURACY_OUT, lambda h, explicit, rhs, jac: solver.accuracy(h, explicit, rhs, jac, steps=steps))
+    """The split solver at a loose tolerance against itself at a tight one, for each event, number of regions and seed. The events
+    of a batch are integrated side by side, each with its own steps."""
+
+    def run(ids, counts, cubes):
+        for n in counts:
+            g = batched.region_graphs(cubes[:, 0], batched.kmeans_regions(cubes[:, 0], n), n)
+            degree = np.where(g.edges > 0, np.maximum.reduceat(g.w.sum(0), g.start), 1.0)
+            d = solver.calibrate_diffusion(solver.stability_radius(), degree)
+            about = {"event_id": ids, "N": n, "N_actual": g.sizes, "E": g.edges, "D": d, "sigma_init": sigma, "lambda_max_topo": batched.lambda_max(g, (g.w > 0).astype(float)), "lambda_max_weighted": batched.lambda_max(g, g.w)}
+            for seed in seeds:
+                weights = solver.make_weights(sigma, int(seed), 3, g.env.shape[1])
+                stretch = np.split(np.linalg.norm(solver.reaction(g.env, weights)[1](g.h.T), 2, axis=(1, 2)), g.start[1:])
+                got = batched.accuracy(batched.Reacting.of(g, d, weights), g.h, steps=steps)
+                yield pd.DataFrame(about | {"seed": int(seed), "spectral_radius": [float(np.median(v)) for v in stretch]} | got)
+
+    return map_stacks(pending_counts(frames, counts, done), run, ACCURACY_OUT)
 
 
 TRIAGE_OUT = "event_id string, N int, N_actual int, E int, seed int, D double, sigma_init double, spectral_radius double, lambda_max_topo double, lambda_max_weighted double, dominant_real double, converged boolean, accepted int, rejected int, verdict string"
