@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -107,7 +107,7 @@ def stacks(rows: pa.Table, channels: tuple[str, ...] = CHANNELS) -> list[tuple[n
 
 
 def whole_events(batches) -> Iterator[pa.Table]:
-    """Batches sorted by event_id as tables in which no event is divided: the last event of a batch waits for the next batch."""
+    """Batches in which an event's rows follow each other as tables in which no event is divided: the last event of a batch waits for the next batch."""
     kept: list[pa.RecordBatch] = []
     for b in batches:
         if not b.num_rows:
@@ -139,7 +139,8 @@ def map_stacks(frames: DataFrame, run, ddl: str) -> DataFrame:
                     for pdf in got:
                         yield pa.RecordBatch.from_pandas(pdf[names], schema=schema, preserve_index=False)
 
-    frames = frames.repartition("event_id").sortWithinPartitions("event_id")
+    # A window brings an event's rows together like groupBy: it uses the partitions of a join before it, and skewed ones stay whole.
+    frames = frames.withColumn("_k", F.row_number().over(Window.partitionBy("event_id").orderBy("t")))
     schema = to_arrow_schema(StructType.fromDDL(ddl))
     return frames.mapInArrow(rows_of, ddl)
 
@@ -181,6 +182,18 @@ def sweep_regions(frames: DataFrame, counts: list[int], flow_align: str = "corre
     return with_joint(got, ["event_id"], kind) if len(counts) >= 3 else got.withColumn("J_imex", F.lit(None).cast("double"))
 
 
+def sweep_counts(frames: DataFrame, counts: list[int], done: DataFrame | None = None) -> DataFrame:
+    """event_id, N and actual_N of sweep_regions() without its scores. These follow from the first frame's regions, scaled by all
+    frames, so that no flow is taken and no later frame is segmented; for many events at a time."""
+
+    def run(ids, counts, cubes):
+        for n in counts:
+            labels = np.sort(batched.kmeans_regions(cubes[:, 0], n).reshape(len(ids), -1), 1)
+            yield pd.DataFrame({"event_id": ids, "N": n, "actual_N": 1 + (np.diff(labels) > 0).sum(1)})
+
+    return map_stacks(pending_counts(frames, counts, done), run, "event_id string, N int, actual_N int")
+
+
 def frame_components(frames: DataFrame, channel: str = "vil", noise: float = 20.0) -> DataFrame:
     """(event_id, t, n_cells, max_area, active, mass) of each frame, row by row."""
 

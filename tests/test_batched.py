@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from squallframe.kernels import batched, raster, segment, solver
 from squallframe.operators import imagery as I
+from squallframe.plans import imagery_queries
 
 WEIGHTS = solver.make_weights(1.0, 0)
 
@@ -102,6 +103,20 @@ def test_accuracy_rows_of_odd_events(spark):
                 assert all(np.isclose(got[e, n][c], v, rtol=1e-6, atol=1e-14) for c, v in want.items())
 
 
+def test_counts_are_those_of_the_sweep(spark):
+    f = odd_frames(spark)
+    done = spark.createDataFrame([("E7", 6), ("E8", 6), ("E8", 12)], "event_id string, N int")
+    got = sorted(map(tuple, I.sweep_counts(f, [6, 12], done).collect()))
+    assert got == sorted(map(tuple, I.sweep_regions(f, [6, 12], done=done).select("event_id", "N", "actual_N").collect())) and len(got) == 19
+
+
+def test_resumed_sweep_makes_the_frames_once(spark, data):
+    """Making frames takes most of the time; before, they were made again to find the finished events."""
+    got = imagery_queries.x05_resumed_sweep(spark, data)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") + plan.count("MapInPandas") == 2 and "FlatMapGroups" not in plan  # frames, and the counts
+
+
 def test_many_events_cost_less_than_one_each():
     """100 events took 10 times as long as 10; a batch of them takes less than these 10 alone."""
     f = first_frames(100)
